@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import PrefixHash, chunks, cut, mix, small, with_row_key
 
 #: Bytes of text whose suffixes are sorted at once.
-SHARD_BYTES = 2 << 20
-_PIECE = 4 << 20
+SHARD_BYTES = 1 << 20
+_PIECE = 1 << 20
 _BIG = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -39,7 +39,7 @@ def suffix_array(data: np.ndarray, depth: int, w8: np.ndarray | None = None) ->
     Suffixes that agree on ``depth`` bytes may stay tied; the end of the data sorts first."""
     n = len(data)
     w8 = words8(data) if w8 is None else w8
-    sa = np.argsort(w8, kind="stable")
+    sa = np.argsort(w8)
     key = w8[sa]
     rank = np.empty(n + 1, dtype=np.int64)
     rank[n] = 0
@@ -53,7 +53,7 @@ def suffix_array(data: np.ndarray, depth: int, w8: np.ndarray | None = None) ->
         at = sa[tied]
         follow = rank[np.minimum(at + h, n)]
         both = (rank[at] << np.int64(32)) | follow
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         both = both[order]
         sa[tied] = at[order]
         new = np.concatenate([[True], both[1:] != both[:-1]])
@@ -85,7 +85,7 @@ def _agree(w8: np.ndarray, i: np.ndarray, j: np.ndarray, h: np.ndarray, cap: int
     return np.minimum(h, cap, out=h)
 
 
-def kasai(data: np.ndarray, sa: np.ndarray, rank: np.ndarray, cap: int, w8: np.ndarray | None = None, lanes: int = 4096) -> np.ndarray:
+def kasai(data: np.ndarray, sa: np.ndarray, rank: np.ndarray, cap: int, w8: np.ndarray | None = None, lanes: int = 16_384) -> np.ndarray:
     """Common prefix (at most cap bytes) of each suffix in the array with the one before it, by Kasai's rule: a suffix
     shares with its predecessor at least one byte less than the suffix that starts a byte earlier. The text is cut into
     lanes that advance together. Suffixes of equal rank agree on cap bytes; as their order is open, the rule is not
@@ -359,17 +359,79 @@ def _sorted_shards(length: int, shard_bytes: int):
     return run
 
 
-def _window_hashes(length: int):
-    """Every window of the regions of a very common key, as a 128-bit hash: (_id, _t, at, h1, h2)."""
+#: A window that no other window of its shard equals, or one of several that do (``many``).
+_PRINT = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("at", "<i8"), ("t", "<i4"), ("many", "<i4")])
+
+
+def _salted_shards(length: int, ranges: int):
+    """Suffix arrays over the shards (key, salt) of very common keys. Gives the spans that repeat inside a shard, and
+    for the merge across shards one print of every different window, sorted and cut into ranges of the hash."""
+
+    def prints(df: pd.DataFrame) -> tuple[list, list]:
+        ids, ts, starts = df["_id"].to_numpy(), df["_t"].to_numpy(), df["start"].to_numpy()
+        docs: dict[tuple[int, int], int] = {}
+        place = np.array([docs.setdefault(k, len(docs)) for k in zip(ids, ts, strict=True)], dtype=np.int64)
+        windows = [len(b) - length + 1 for b in df["bytes"]]
+        shard = Shard(df["bytes"].tolist(), (place << np.int64(36)) + starts, windows, df["often"].to_numpy(dtype=bool), length)
+        spans: list = []
+        _spans(spans, ids, ts, starts, windows, shard.repeated(), length)
+        data = np.frombuffer(b"".join(df["bytes"]), dtype=np.uint8)
+        first = shard.order[shard.heads]
+        who, offset = shard.region[shard.window[shard.heads]], shard.offset[shard.window[shard.heads]]
+        out = np.empty(len(first), dtype=_PRINT)
+        out["h1"] = PrefixHash(data).grams(length)[first]
+        out["h2"] = PrefixHash(data[::-1].copy()).grams(length)[len(data) - length - first]
+        out["id"], out["t"], out["at"] = ids[who], ts[who], starts[who] + offset
+        out["many"] = (shard.low != shard.high) | shard.many
+        out.sort(order=["h1", "h2"])
+        edges = np.searchsorted(out["h1"], (np.arange(1, ranges, dtype=np.float64) * (2.0**64 / ranges)).astype(np.uint64))
+        return spans, [(r, x.tobytes()) for r, x in enumerate(np.split(out, edges)) if len(x)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        columns = ["_id", "_t", "s", "e", "r", "prints"]
+
+        def give(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            spans, blobs = prints(df)
+            if spans:
+                yield pd.DataFrame(spans, columns=columns[:4]).assign(r=-1, prints=b"")
+            if blobs:
+                yield pd.DataFrame(blobs, columns=columns[4:]).assign(_id=0, _t=0, s=0, e=0)[columns]
+
         for df in batches:
-            for a, b in chunks([len(x) for x in df["bytes"]], 256 << 10):
-                for i, t, s, x, often in zip(df["_id"][a:b], df["_t"][a:b], df["start"][a:b], df["bytes"][a:b], df["often"][a:b], strict=True):
-                    data = np.frombuffer(x, dtype=np.uint8)
-                    h1 = PrefixHash(data).grams(length)
-                    h2 = PrefixHash(data[::-1].copy()).grams(length)[::-1]
-                    yield pd.DataFrame({"_id": i, "_t": t, "at": s + np.arange(len(h1)), "h1": h1.view(np.int64), "h2": h2.copy().view(np.int64), "often": bool(often)})
+            shard = df["key"].astype(str) + "/" + df["salt"].astype(str)
+            for _, x in df.groupby((shard != shard.shift()).cumsum()):
+                if held and (held[-1]["key"].iloc[-1], held[-1]["salt"].iloc[-1]) != (x["key"].iloc[0], x["salt"].iloc[0]):
+                    yield from give(pd.concat(held, ignore_index=True))
+                    held = []
+                held.append(x)
+        if held:
+            yield from give(pd.concat(held, ignore_index=True))
+
+    return run
+
+
+def _merge_prints(length: int):
+    """One range of the hash at a time: the sorted runs of all shards are merged by binary search; what is found in two
+    places, or was found several times in a shard, is repeated."""
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        runs = [np.frombuffer(b, dtype=_PRINT) for b in df["prints"]]
+        while len(runs) > 1:  # pairwise: each element of the shorter run is placed in the longer one
+            runs.sort(key=len)
+            a, b = runs[0], runs[1]
+            runs = [*runs[2:], np.insert(b, np.searchsorted(b["h1"], a["h1"], "right"), a)]
+        x = runs[0]
+        # ties of h1 are put in order of h2
+        order = np.lexsort((x["h2"], x["h1"])) if (x["h1"][1:] == x["h1"][:-1]).any() else np.arange(len(x))
+        x = x[order]
+        new = np.concatenate([[True], (x["h1"][1:] != x["h1"][:-1]) | (x["h2"][1:] != x["h2"][:-1])])
+        heads = np.flatnonzero(new)
+        first = x[heads[np.cumsum(new) - 1]]
+        other = (x["id"] != first["id"]) | (x["t"] != first["t"]) | (x["at"] != first["at"]) | (x["many"] != 0)
+        hit = np.logical_or.reduceat(other, heads)[np.cumsum(new) - 1]
+        y = x[hit]
+        return pd.DataFrame({"_id": y["id"], "_t": y["t"], "s": y["at"], "e": y["at"] + length})
 
     return run
 
@@ -398,7 +460,7 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 128,
-    shard_bytes: int = SHARD_BYTES, common: int = 20_000,
+    shard_bytes: int = SHARD_BYTES, common: int = 4_000,
 ) -> DataFrame:
     """(_id, _t, s, e): byte ranges of the texts that are covered by ``length``-byte strings that start elsewhere too.
 
@@ -407,8 +469,8 @@ def repeated_spans(
        them stands for all.
     3. Regions that differ but share their gram go, ordered by gram, into shards whose suffix arrays (Larsson-Sadakane)
        and common prefixes (Kasai) tell which windows repeat; shards of one gram are merged by binary search.
-    4. A gram with more than ``common`` different regions would fill one task; its windows are counted by hash instead,
-       which spreads over all tasks.
+    4. A gram with more than ``common`` different regions would fill one task: its regions are salted over several
+       shards, and the sorted prints of their windows are merged across the shards by range, each range in a task.
     """
     base = with_row_key(docs, id_col, text_col, id_col)  # the same columns as in suffix_dedup, so that one shuffle serves both
     anchors = cut(base.mapInPandas(lambda b: _anchors(b, length, gram), "_id long, _t int, key long, same long, start long, size int"), "anchors")
@@ -421,19 +483,20 @@ def repeated_spans(
     wanted = differ.groupBy("_id", "_t").agg(F.collect_list(F.struct("key", "start", "size", "often")).alias("regions"))
     regions = base.join(wanted, ["_id", "_t"], "left").select("_id", "_t", F.when(F.col("regions").isNotNull(), F.col("_text")).alias("_text"), "regions")
     regions = regions.mapInPandas(_cut_regions, "_id long, _t int, key long, start long, often boolean, bytes binary")
-    hot = cut(alike.filter(F.col("kinds") > common).select("key").distinct(), "hot")
-    many = hot.limit(1).count() > 0
-    plain = regions.join(small(hot), "key", "left_anti") if many else regions
+    hot = cut(alike.filter(F.col("kinds") > common).select("key", "kinds").distinct(), "hot")
+    kinds = hot.agg(F.sum("kinds")).first()[0]
+    plain = regions.join(small(hot), "key", "left_anti") if kinds else regions
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     plain = plain.repartition(parts, "key").sortWithinPartitions("key", "_id", "_t", "start")
     found = plain.mapInPandas(_sorted_shards(length, shard_bytes), "_id long, _t int, s long, e long")
-    if many:
-        w = regions.join(small(hot), "key").mapInPandas(_window_hashes(length), "_id long, _t int, at long, h1 long, h2 long, often boolean")
-        w = cut(w, "windows")
-        twice = w.groupBy("h1", "h2").agg(
-            F.min(F.struct("_id", "_t", "at")).alias("lo"), F.max(F.struct("_id", "_t", "at")).alias("hi"), F.bool_or("often").alias("often")
-        ).filter(F.col("often") | (F.col("lo") != F.col("hi")))
-        found = found.unionByName(w.join(twice.select("h1", "h2"), ["h1", "h2"]).select("_id", "_t", F.col("at").alias("s"), (F.col("at") + length).alias("e")))
+    if kinds:
+        ranges = max(1, kinds // 1000)
+        salt = F.pmod(F.xxhash64("_id", "_t", "start"), F.ceil(F.col("kinds") / F.lit(common))).cast("int")
+        salted = regions.join(small(hot), "key").withColumn("salt", salt).drop("kinds")
+        salted = salted.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "_id", "_t", "start")
+        local = cut(salted.mapInPandas(_salted_shards(length, ranges), "_id long, _t int, s long, e long, r int, prints binary"), "prints")
+        across = local.filter("r >= 0").groupBy("r").applyInPandas(_merge_prints(length), "_id long, _t int, s long, e long")
+        found = found.unionByName(local.filter("r < 0").select("_id", "_t", "s", "e")).unionByName(across)
     return whole.unionByName(found)
 
 
