@@ -118,3 +118,10 @@ def decontaminate(
         id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
         ((F.col("n_hit") > 0) & (F.col("n_hit") >= F.col("n_words") * F.lit(share))).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The input's rows that are not contaminated, with all their columns."""
+    found = decontaminate(docs, benchmark, id_col, text_col, **options).filter("contaminated")
+    gone = found.select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
