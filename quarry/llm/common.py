@@ -55,6 +55,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in small Arrow batches, so that a worker holds a few megabytes of them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most ``rows`` narrow rows, else df as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import bounded_batches, cut, small
 
 #: A branch is removed below this importance, judged on at least so many different pages of its host.
 LEAST_IMPORTANCE, LEAST_PAGES = 0.2, 5
@@ -276,6 +276,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Null html is empty; pages without a url are one site; repeated rows give equal texts; an empty table gives no
     rows; extra columns are ignored. Very long pages are parsed whole.
     """
+    bounded_batches(pages.sparkSession)
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url_col)), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))
     rows = pages.select(
         F.col(id_col).cast("string").alias("_row"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import bounded_batches, chunks
 from .quality import in_fold
 
 #: Documents that are fitted on, at most; those of the least id hashes.
@@ -144,7 +144,7 @@ def _apply(model: ByteConvNet):
         for df in batches:
             raw = [t.encode() if t is not None else b"" for t in df["_text"]]
             letters = np.array([t is not None and _LETTER.search(t) is not None for t in df["_text"]], dtype=bool)
-            for a, b in chunks([len(t) for t in raw], 4 << 20):
+            for a, b in chunks([len(t) for t in raw], 512 << 10):
                 if model.langs:
                     windows, begin = _windows(raw[a:b])
                     # a padded last window counts by the bytes it holds
@@ -173,6 +173,7 @@ def identify_language(
     Texts that are null or hold no letter are "und" with score 0, as is everything when nothing could be learned.
     Repeated rows score alike; an empty table gives no rows; extra columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     model = model or fit_language(docs, id_col, text_col, **fit)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_row"), in_fold(id_col, fit.get("folds", 4), fit.get("held_out", 2)).alias("_held"), F.col(text_col).alias("_text"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, chunks, cut, small, word_hashes
+from .common import LOWER_TABLE, bounded_batches, chunks, cut, small, word_hashes
 
 #: A word is in the vocabulary if it makes up this share of all tokens, a pair is kept if it makes up that share: so
 #: there are at most 1 / share of them at every size of the corpus.
@@ -178,6 +178,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     Null and empty texts have no tokens and all values 0. Without targets the target model is uniform over the
     vocabulary. Repeated rows are counted as often as they occur and score alike; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     ids = small(targets.select(F.col(id_col).alias("_target_id")).filter(F.col("_target_id").isNotNull()).distinct(), 200_000)
     marked = docs.join(ids, F.col(id_col) == F.col("_target_id"), "left")
     return score_documents(docs, fit_models(marked, F.col("_target_id").isNotNull(), text_col), id_col, text_col)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, chunks, cut, mix, small, with_row_key, word_hashes
+from .common import LOWER_TABLE, bounded_batches, chunks, cut, mix, small, with_row_key, word_hashes
 
 ROWS, BANDS, KEPT = 6, 30, 128
 #: Signature agreement below which a pair is not verified: five standard deviations under the threshold.
@@ -60,7 +60,7 @@ def _i64(a: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in batches:
         raw = [t.encode() for t in df["_text"]]
-        for a, b in chunks([len(t) for t in raw], 4 << 20):
+        for a, b in chunks([len(t) for t in raw], 512 << 10):
             sets = shingle_sets(raw[a:b])
             full = [i for i, s in enumerate(sets) if len(s)]
             m = np.zeros((b - a, ROWS * BANDS), dtype=np.uint32)
@@ -87,7 +87,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in batches:
         raw = [t.encode() for t in df["_text"]]
-        for a, b in chunks([len(t) for t in raw], 4 << 20):
+        for a, b in chunks([len(t) for t in raw], 512 << 10):
             yield pd.DataFrame({"node": df["node"].to_numpy()[a:b], "shingles": [s.astype("<u8").tobytes() for s in shingle_sets(raw[a:b])]})
 
 
@@ -196,6 +196,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts have an empty set and are linked with nothing. Null ids take a hash of the text in their
     component; repeated rows share a class and so a component. An empty table gives no rows; extra columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     base = with_row_key(docs, id_col, text_col)
     signed = cut(base.mapInPandas(_sign, "_id long, _t int, n long, f1 long, f2 long, bands array<long>, sig binary"), "signed")
     full = signed.filter("n > 0")

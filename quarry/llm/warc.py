@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, new_path
+from .common import bounded_batches, cut, new_path
 
 #: Uncompressed bytes after which a new archive file is begun.
 ROLL_BYTES = 16 << 20
@@ -276,5 +276,6 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     a null id is kept. Repeated rows are records of their own; an empty table gives no rows.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     rough = write_archives(with_revisits(pages, id_col, url_col, html_col, least), new_path(spark, "warc-rough"))
     return read_archives(normalise_archives(rough, new_path(spark, "warc")))
