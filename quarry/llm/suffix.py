@@ -10,12 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, chunks, cut, mix, small, with_row_key
+from .common import PrefixHash, bounded_batches, chunks, cut, mix, small, with_row_key
 
 #: Bytes of text whose suffixes are sorted at once.
 SHARD_BYTES = 1 << 20
 _PIECE = 1 << 20
 _BIG = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: A region is packed into one number: start, size and the anchor's place in it, the last two in so many bits.
+_BITS = 13
+_CLASSES = 8
 
 
 # --- suffix arrays ------------------------------------------------------------------------------------------------
@@ -33,10 +36,15 @@ def words8(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(data: np.ndarray, depth: int, w8: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(
+    data: np.ndarray, depth: int, w8: np.ndarray | None = None, offset: np.ndarray | None = None, wanted: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, ranks) by Larsson-Sadakane refinement: ranks by eight bytes first, then only the groups that are
-    still tied are sorted by the rank of the suffix that many bytes on, doubling until ``depth`` bytes are compared.
-    Suffixes that agree on ``depth`` bytes may stay tied; the end of the data sorts first."""
+    still tied are sorted by the rank of the suffix that many bytes on, doubling until ``depth`` bytes are compared (the
+    last step is shorter, so that ranks tell exactly ``depth`` bytes). The end of the data sorts first.
+
+    If only suffixes at an ``offset`` below ``wanted`` in their part of the data are to be in order, the last two rounds
+    refine only those whose rank a wanted suffix still looks up."""
     n = len(data)
     w8 = words8(data) if w8 is None else w8
     sa = np.argsort(w8)
@@ -50,8 +58,18 @@ def suffix_array(data: np.ndarray, depth: int, w8: np.ndarray | None = None) ->
     h = 8
     tied = np.flatnonzero(~(first & np.concatenate([first[1:], [True]]))) if n else np.zeros(0, dtype=np.int64)
     while h < depth and len(tied):
+        step = min(h, depth - h)
         at = sa[tied]
-        follow = rank[np.minimum(at + h, n)]
+        if offset is not None and h + step + min(h + step, depth - h - step) >= depth:
+            o, w = offset[at], wanted[at]
+            used = o < w
+            if h + step < depth:  # the last round looks this far on
+                last = depth - h - step
+                used |= (o >= last) & (o < w + last)
+            tied, at = tied[used], at[used]
+            if not len(tied):
+                break
+        follow = rank[np.minimum(at + step, n)]
         both = (rank[at] << np.int64(32)) | follow
         order = np.argsort(both)
         both = both[order]
@@ -61,58 +79,50 @@ def suffix_array(data: np.ndarray, depth: int, w8: np.ndarray | None = None) ->
         rank[sa[tied]] = place + 1
         last = np.concatenate([new[1:], [True]])
         tied = tied[~(new & last)]
-        h *= 2
+        h += step
     return sa, rank[:n] - 1
 
 
-def _agree(w8: np.ndarray, i: np.ndarray, j: np.ndarray, h: np.ndarray, cap: int, n: int) -> np.ndarray:
-    """Extend the common prefixes h of suffixes i and j, eight bytes at a time, up to cap."""
-    todo = np.flatnonzero(h < cap)
-    while len(todo):
-        a, b = i[todo] + h[todo], j[todo] + h[todo]
-        room = n - np.maximum(a, b)
-        inside = room > 0
-        x = np.where(inside, w8[np.minimum(a, n - 1)] ^ w8[np.minimum(b, n - 1)], _BIG)
-        same = x == 0
-        # leading equal bytes of a differing word
-        lead = np.zeros(len(x), dtype=np.int64)
-        for k in range(7):
-            lead += (x >> np.uint64(56 - 8 * k)) == 0
-        step = np.minimum(np.where(same, 8, lead), np.maximum(room, 0))
-        h[todo] += step
-        todo = todo[same & (room > 8)]
-        todo = todo[h[todo] < cap]
-    return np.minimum(h, cap, out=h)
-
-
-def kasai(data: np.ndarray, sa: np.ndarray, rank: np.ndarray, cap: int, w8: np.ndarray | None = None, lanes: int = 16_384) -> np.ndarray:
+def kasai(
+    data: np.ndarray, sa: np.ndarray, rank: np.ndarray, cap: int, w8: np.ndarray | None = None,
+    starts: np.ndarray | None = None, sizes: np.ndarray | None = None,
+) -> np.ndarray:
     """Common prefix (at most cap bytes) of each suffix in the array with the one before it, by Kasai's rule: a suffix
-    shares with its predecessor at least one byte less than the suffix that starts a byte earlier. The text is cut into
-    lanes that advance together. Suffixes of equal rank agree on cap bytes; as their order is open, the rule is not
-    carried over from them."""
+    shares with its predecessor at least one byte less than the suffix that starts a byte earlier.
+
+    Ranks tell exactly cap bytes. The array may hold only the suffixes of some runs of the text (starts, sizes); the
+    runs advance together. The rule is not carried over where the predecessor's next suffix is not in the array, nor
+    from suffixes of equal rank: these agree on cap bytes, and their order is open."""
     n = len(data)
     w8 = words8(data) if w8 is None else w8
-    before = np.full(n, -1, dtype=np.int64)
-    before[sa[1:]] = sa[:-1]
-    tied = (before >= 0) & (rank == rank[before])
+    if starts is None:
+        width = max(64, -(-n // 16_384))
+        starts = np.arange(0, n, width)
+        sizes = np.minimum(width, n - starts)
+    before = np.full(n + 1, -2, dtype=np.int64)
+    if len(sa):
+        before[sa[0]] = -1
+        before[sa[1:]] = sa[:-1]
     lcp = np.zeros(n, dtype=np.int64)
-    lanes = max(1, min(lanes, n // 64 or 1))
-    width = -(-n // lanes)
-    start = np.arange(0, n, width)
-    h = np.zeros(len(start), dtype=np.int64)
-    for step in range(width):
-        i = start + step
-        live = i < n
-        i, g = i[live], np.maximum(h[live] - 1, 0)
+    i, end, h = starts.copy(), starts + sizes, np.zeros(len(starts), dtype=np.int64)
+    while len(i):  # every lane compares eight bytes at a time, and moves on where they differ
         j = before[i]
-        same = tied[i]
-        has = (j >= 0) & ~same
-        g[~has] = 0
-        if has.any():
-            g[has] = _agree(w8, i[has], j[has], g[has], cap, n)
-        lcp[i] = np.where(same, cap, g)
-        h = np.zeros(len(start), dtype=np.int64)
-        h[: len(g)] = g  # only the last lane can end early
+        tie, none = (rank[i] == rank[j]) & (j >= 0), j < 0
+        a, b = i + h, np.maximum(j, 0) + h
+        room = n - np.maximum(a, b)
+        x = w8[np.minimum(a, n - 1)] ^ w8[np.minimum(b, n - 1)]
+        bits = np.frexp((x & ~(x >> np.uint64(1))).astype(np.float64))[1]  # of the highest bit set
+        h += np.clip((64 - bits) >> 3, 0, room)
+        np.minimum(h, cap, out=h)
+        h[tie], h[none] = cap, 0
+        over = np.flatnonzero(tie | none | (x != 0) | (h >= cap) | (room <= 8))
+        lcp[i[over]] = h[over]
+        loose = tie[over] | none[over] | (before[j[over] + 1] == -2)
+        h[over] = np.where(loose, 0, np.maximum(h[over] - 1, 0))
+        i[over] += 1
+        if (i[over] == end[over]).any():
+            on = np.flatnonzero(i < end)
+            i, end, h = i[on], end[on], h[on]
     return lcp[sa]
 
 
@@ -165,14 +175,11 @@ class Shard:
         at = begin[self.region] + self.offset
         is_start = np.full(len(data), -1, dtype=np.int64)
         is_start[at] = np.arange(len(at))
-        sa, rank = suffix_array(data, length, self.w8)
-        lcp = kasai(data, sa, rank, length, self.w8)
-        mine = np.flatnonzero(is_start[sa] >= 0)
-        # the common prefix of neighbouring windows is the least of the array between them
-        apart = lcp[:0]
-        if len(mine):
-            apart = np.minimum.reduceat(lcp[: mine[-1] + 1], np.concatenate([[0], mine[:-1] + 1]))
-        self.order = sa[mine]
+        span = np.arange(len(data)) - np.repeat(begin, sizes)
+        sa, rank = suffix_array(data, length, self.w8, span, np.repeat(n_win, sizes))
+        self.order = sa[is_start[sa] >= 0]  # of all suffixes, those that begin a window
+        some = n_win > 0
+        apart = kasai(data, self.order, rank, length, self.w8, begin[some], n_win[some])
         self.window = is_start[self.order]
         new = apart < length
         if len(new):
@@ -259,26 +266,57 @@ def _anchors(batches: Iterator[pd.DataFrame], length: int, gram: int) -> Iterato
             e = np.minimum(begin[part] + sizes[part], at + length)
             key = h[at]
             shape = mix(((at - s) * 65536 + (e - at)).astype(np.uint64))
+            loc = (s - begin[part] + off) << 2 * _BITS | (e - s) << _BITS | (at - s)
             yield pd.DataFrame(
                 {
-                    "_id": ids[row], "_t": ts[row], "key": key.view(np.int64), "same": (ph.of(s, e) ^ shape).view(np.int64),
-                    "start": s - begin[part] + off, "size": (e - s).astype(np.int32),
+                    "_id": ids[row], "_t": ts[row], "key": key.view(np.int64), "same": (ph.of(s, e) ^ shape).view(np.int64), "loc": loc,
                 }
             )
 
 
+_REGION = ["_id", "_t", "key", "salt", "start", "lead", "often", "bytes"]
+
+
 def _cut_regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    mask = (1 << _BITS) - 1
     for df in batches:
         out = []
         for i, t, text, regions in zip(df["_id"], df["_t"], df["_text"], df["regions"], strict=True):
             raw = text.encode() if text is not None else b""
             for r in regions if regions is not None else ():
-                out.append((i, t, r["key"], r["start"], r["often"], raw[r["start"] : r["start"] + r["size"]]))
+                start, size = r["loc"] >> 2 * _BITS, r["loc"] >> _BITS & mask
+                out.append((i, t, r["key"], r["salt"], start, r["loc"] & mask, r["often"], raw[start : start + size]))
             if len(out) > 5000:
-                yield pd.DataFrame(out, columns=["_id", "_t", "key", "start", "often", "bytes"])
+                yield pd.DataFrame(out, columns=_REGION)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=["_id", "_t", "key", "start", "often", "bytes"])
+            yield pd.DataFrame(out, columns=_REGION)
+
+
+def _prune(df: pd.DataFrame, length: int, span: int) -> pd.DataFrame:
+    """Regions of whole keys, narrowed to where a repeat is possible. The windows of a region fall into classes by
+    their distance to the anchor; all windows of a class share a core of bytes, so a class whose core occurs once under
+    its key holds no repeat."""
+    size = df["bytes"].str.len().to_numpy()
+    begin = np.cumsum(size) - size
+    lead, key = df["lead"].to_numpy().astype(np.int64), df["key"].to_numpy()
+    ph = PrefixHash(np.frombuffer(b"".join(df["bytes"]), dtype=np.uint8))
+    bounds = np.linspace(0, span, _CLASSES + 1).astype(np.int64)  # windows at distance bounds[j] to bounds[j + 1] - 1
+    first, last = np.full(len(df), 1 << 40), np.full(len(df), -1)
+    for lo, hi in zip(bounds[:-1], bounds[1:] - 1, strict=True):
+        # window starts in the region, from the farthest to the nearest of the class
+        a, b = np.maximum(lead - hi, 0), np.minimum(lead - lo, size - length)
+        ok = np.flatnonzero(a <= b)
+        core = ph.of(begin[ok] + lead[ok] - lo, begin[ok] + lead[ok] - hi + length).view(np.int64)
+        _, inv, n = np.unique(np.stack([key[ok], core]), axis=1, return_inverse=True, return_counts=True)
+        twice = ok[n[inv.ravel()] > 1]
+        first[twice] = np.minimum(first[twice], a[twice])
+        last[twice] = np.maximum(last[twice], b[twice])
+    keep = np.flatnonzero(last >= 0)
+    out = df.iloc[keep].copy()
+    out["bytes"] = [x[f : e + length] for x, f, e in zip(out["bytes"], first[keep], last[keep], strict=True)]
+    out["start"] += first[keep]
+    return out.reset_index(drop=True)
 
 
 def _spans(out: list, ids, ts, starts, windows, repeated: np.ndarray, length: int) -> None:
@@ -292,119 +330,101 @@ def _spans(out: list, ids, ts, starts, windows, repeated: np.ndarray, length: in
             out += [(i, t, int(s + a), int(s + b - 1 + length)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def _sorted_shards(length: int, shard_bytes: int):
-    """Suffix arrays over the regions of one partition, which come ordered by key: shards of bounded size; shards that
-    continue a key are merged by binary search, others share no window."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        docs: dict[tuple[int, int], int] = {}
-        chain: list[tuple[pd.DataFrame, Shard, list[int]]] = []
-        open_: list[pd.DataFrame] = []
-        held = 0
-
-        def close(df: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
-            """Build the shard; give out the chain when its key ends here."""
-            place = np.array([docs.setdefault((i, t), len(docs)) for i, t in zip(df["_id"], df["_t"], strict=True)], dtype=np.int64)
-            windows = [len(b) - length + 1 for b in df["bytes"]]
-            shard = Shard(df["bytes"].tolist(), (place << np.int64(36)) + df["start"].to_numpy(), windows, df["often"].to_numpy(dtype=bool), length)
-            if chain and chain[-1][0]["key"].iloc[-1] != df["key"].iloc[0]:
-                yield out()
+def _key_shards(df: pd.DataFrame, length: int, shard_bytes: int) -> pd.DataFrame:
+    """Spans that repeat among the regions of whole keys: shards of bounded size; shards that continue a key are merged
+    by binary search, others share no window."""
+    docs: dict[tuple[int, int], int] = {}
+    chain: list[tuple[pd.DataFrame, Shard, list[int]]] = []
+    rows: list = []
+
+    def close() -> None:
+        for x, shard, windows in chain:
+            _spans(rows, x["_id"], x["_t"], x["start"], windows, shard.repeated(), length)
+        chain.clear()
+
+    # whole keys together up to the size of a shard; a larger key in shards of its own
+    size = df["bytes"].str.len().to_numpy()
+    key = df["key"].to_numpy()
+    edge = np.concatenate([np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), [len(df)]])
+    upto = np.concatenate([[0], np.cumsum(size)])
+    for i, j in chunks(upto[edge[1:]] - upto[edge[:-1]], shard_bytes):
+        a, b = edge[i], edge[j]
+        for p, q in chunks(size[a:b], max(shard_bytes, int(upto[b] - upto[a]) if j - i > 1 else 0)):
+            x = df.iloc[a + p : a + q]
+            place = np.array([docs.setdefault(k, len(docs)) for k in zip(x["_id"], x["_t"], strict=True)], dtype=np.int64)
+            windows = [len(t) - length + 1 for t in x["bytes"]]
+            shard = Shard(x["bytes"].tolist(), (place << np.int64(36)) + x["start"].to_numpy(), windows, x["often"].to_numpy(dtype=bool), length)
             for _, other, _ in chain:
                 shard.merge(other)
-            chain.append((df, shard, windows))
-            if last:
-                yield out()
-
-        def out() -> pd.DataFrame:
-            rows: list = []
-            for df, shard, windows in chain:
-                _spans(rows, df["_id"], df["_t"], df["start"], windows, shard.repeated(), length)
-            chain.clear()
-            return pd.DataFrame(rows, columns=["_id", "_t", "s", "e"])
-
-        def shards(df: pd.DataFrame, last: bool) -> tuple[list[pd.DataFrame], pd.DataFrame]:
-            """Shards of whole keys where a key fits; the rest waits for more."""
-            sizes = df["bytes"].str.len().to_numpy()
-            key = df["key"].to_numpy()
-            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            ready, begin, total = [], 0, 0
-            bounds = [*edge[1:], *([len(df)] if last else [])]
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            for e in bounds:
-                if e > begin and ends[e] - ends[begin] > shard_bytes:
-                    prev = max([x for x in edge if begin < x < e], default=begin) if ends[e] - ends[begin] > 2 * shard_bytes else e
-                    for x, y in ((begin, prev), (prev, e)):
-                        for p, q in chunks(sizes[x:y], 2 * shard_bytes):
-                            ready.append(df.iloc[x + p : x + q])
-                    begin = e
-            if last and begin < len(df):
-                ready.append(df.iloc[begin:])
-                begin = len(df)
-            return ready, df.iloc[begin:]
-
-        for df in batches:
-            open_.append(df)
-            held += int(df["bytes"].str.len().sum())
-            if held > 4 * shard_bytes:
-                ready, rest = shards(pd.concat(open_, ignore_index=True), False)
-                for x in ready:
-                    yield from close(x, False)
-                open_, held = [rest.reset_index(drop=True)], int(rest["bytes"].str.len().sum())
-        if open_:
-            for x in shards(pd.concat(open_, ignore_index=True), True)[0]:
-                yield from close(x, False)
-        if chain:
-            yield out()
-
-    return run
+            chain.append((x, shard, windows))
+        close()
+    return pd.DataFrame(rows, columns=["_id", "_t", "s", "e"])
 
 
 #: A window that no other window of its shard equals, or one of several that do (``many``).
 _PRINT = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("at", "<i8"), ("t", "<i4"), ("many", "<i4")])
 
 
-def _salted_shards(length: int, ranges: int):
-    """Suffix arrays over the shards (key, salt) of very common keys. Gives the spans that repeat inside a shard, and
-    for the merge across shards one print of every different window, sorted and cut into ranges of the hash."""
-
-    def prints(df: pd.DataFrame) -> tuple[list, list]:
-        ids, ts, starts = df["_id"].to_numpy(), df["_t"].to_numpy(), df["start"].to_numpy()
-        docs: dict[tuple[int, int], int] = {}
-        place = np.array([docs.setdefault(k, len(docs)) for k in zip(ids, ts, strict=True)], dtype=np.int64)
-        windows = [len(b) - length + 1 for b in df["bytes"]]
-        shard = Shard(df["bytes"].tolist(), (place << np.int64(36)) + starts, windows, df["often"].to_numpy(dtype=bool), length)
-        spans: list = []
-        _spans(spans, ids, ts, starts, windows, shard.repeated(), length)
-        data = np.frombuffer(b"".join(df["bytes"]), dtype=np.uint8)
-        first = shard.order[shard.heads]
-        who, offset = shard.region[shard.window[shard.heads]], shard.offset[shard.window[shard.heads]]
-        out = np.empty(len(first), dtype=_PRINT)
-        out["h1"] = PrefixHash(data).grams(length)[first]
-        out["h2"] = PrefixHash(data[::-1].copy()).grams(length)[len(data) - length - first]
-        out["id"], out["t"], out["at"] = ids[who], ts[who], starts[who] + offset
-        out["many"] = (shard.low != shard.high) | shard.many
-        out.sort(order=["h1", "h2"])
-        edges = np.searchsorted(out["h1"], (np.arange(1, ranges, dtype=np.float64) * (2.0**64 / ranges)).astype(np.uint64))
-        return spans, [(r, x.tobytes()) for r, x in enumerate(np.split(out, edges)) if len(x)]
+_FOUND = ["_id", "_t", "s", "e", "r", "prints"]
+
+
+def _prints(df: pd.DataFrame, length: int, ranges: int) -> Iterator[pd.DataFrame]:
+    """One shard of a very common key: the spans that repeat inside it, and for the merge across shards one print of
+    every different window, sorted and cut into ranges of the hash."""
+    ids, ts, starts = df["_id"].to_numpy(), df["_t"].to_numpy(), df["start"].to_numpy()
+    docs: dict[tuple[int, int], int] = {}
+    place = np.array([docs.setdefault(k, len(docs)) for k in zip(ids, ts, strict=True)], dtype=np.int64)
+    windows = [len(b) - length + 1 for b in df["bytes"]]
+    shard = Shard(df["bytes"].tolist(), (place << np.int64(36)) + starts, windows, df["often"].to_numpy(dtype=bool), length)
+    spans: list = []
+    _spans(spans, ids, ts, starts, windows, shard.repeated(), length)
+    if spans:
+        yield pd.DataFrame(spans, columns=_FOUND[:4]).assign(r=-1, prints=b"")
+    data = np.frombuffer(b"".join(df["bytes"]), dtype=np.uint8)
+    first = shard.order[shard.heads]
+    who, offset = shard.region[shard.window[shard.heads]], shard.offset[shard.window[shard.heads]]
+    out = np.empty(len(first), dtype=_PRINT)
+    out["h1"] = PrefixHash(data).grams(length)[first]
+    out["h2"] = PrefixHash(data[::-1].copy()).grams(length)[len(data) - length - first]
+    out["id"], out["t"], out["at"] = ids[who], ts[who], starts[who] + offset
+    out["many"] = (shard.low != shard.high) | shard.many
+    out.sort(order=["h1", "h2"])
+    edges = np.searchsorted(out["h1"], (np.arange(1, ranges, dtype=np.float64) * (2.0**64 / ranges)).astype(np.uint64))
+    blobs = [(r, x.tobytes()) for r, x in enumerate(np.split(out, edges)) if len(x)]
+    if blobs:
+        yield pd.DataFrame(blobs, columns=_FOUND[4:]).assign(_id=0, _t=0, s=0, e=0)[_FOUND]
+
+
+def _shards(length: int, span: int, shard_bytes: int, ranges: int):
+    """Suffix arrays over one partition's regions, which come in order of key and salt (-1: the key is not salted)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        columns = ["_id", "_t", "s", "e", "r", "prints"]
+        size = 0
 
         def give(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            spans, blobs = prints(df)
-            if spans:
-                yield pd.DataFrame(spans, columns=columns[:4]).assign(r=-1, prints=b"")
-            if blobs:
-                yield pd.DataFrame(blobs, columns=columns[4:]).assign(_id=0, _t=0, s=0, e=0)[columns]
+            if df["salt"].iloc[0] >= 0:
+                yield from _prints(df, length, ranges)
+                return
+            df = _prune(df, length, span)
+            if len(df):
+                yield _key_shards(df, length, shard_bytes).assign(r=-1, prints=b"")
 
         for df in batches:
-            shard = df["key"].astype(str) + "/" + df["salt"].astype(str)
-            for _, x in df.groupby((shard != shard.shift()).cumsum()):
-                if held and (held[-1]["key"].iloc[-1], held[-1]["salt"].iloc[-1]) != (x["key"].iloc[0], x["salt"].iloc[0]):
+            mark = df["key"].to_numpy() ^ df["salt"].to_numpy()
+            salted = df["salt"].to_numpy() >= 0
+            sizes = df["bytes"].str.len().to_numpy()
+            new = np.concatenate([[True], (mark[1:] != mark[:-1]) | (salted[1:] != salted[:-1])])
+            edge = np.concatenate([np.flatnonzero(new), [len(df)]])
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                part = df.iloc[a:b]
+                now, was = part.iloc[0], held[-1].iloc[-1] if held else None
+                other = held and (now["key"], now["salt"]) != (was["key"], was["salt"])
+                if other and (now["salt"] >= 0 or was["salt"] >= 0 or size > 2 * shard_bytes):
                     yield from give(pd.concat(held, ignore_index=True))
-                    held = []
-                held.append(x)
+                    held, size = [], 0
+                held.append(part)
+                size += int(sizes[a:b].sum())
         if held:
             yield from give(pd.concat(held, ignore_index=True))
 
@@ -472,32 +492,39 @@ def repeated_spans(
     4. A gram with more than ``common`` different regions would fill one task: its regions are salted over several
        shards, and the sorted prints of their windows are merged across the shards by range, each range in a task.
     """
+    bounded_batches(docs.sparkSession)
     base = with_row_key(docs, id_col, text_col, id_col)  # the same columns as in suffix_dedup, so that one shuffle serves both
-    anchors = cut(base.mapInPandas(lambda b: _anchors(b, length, gram), "_id long, _t int, key long, same long, start long, size int"), "anchors")
-    alike = anchors.groupBy("key", "same").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_t", "start", "size")).alias("at"))
+    anchors = cut(base.mapInPandas(lambda b: _anchors(b, length, gram), "_id long, _t int, key long, same long, loc long"), "anchors")
+    alike = anchors.groupBy("key", "same").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_t", "loc")).alias("at"))
     keys = alike.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).filter("all > 1")
     alike = cut(alike.join(keys, "key"), "alike")
     copies = anchors.join(alike.filter("n > 1").select("key", "same"), ["key", "same"])
-    whole = copies.select("_id", "_t", F.col("start").alias("s"), (F.col("start") + F.col("size")).alias("e"))
-    differ = alike.filter("kinds > 1").select("at.*", "key", (F.col("n") > 1).alias("often"))
-    wanted = differ.groupBy("_id", "_t").agg(F.collect_list(F.struct("key", "start", "size", "often")).alias("regions"))
+    size = F.shiftright("loc", _BITS).bitwiseAND((1 << _BITS) - 1)
+    start = F.shiftright("loc", 2 * _BITS)
+    whole = copies.select("_id", "_t", start.alias("s"), (start + size).alias("e"))
+    salt = F.when(F.col("kinds") > common, F.pmod(F.xxhash64("at"), F.ceil(F.col("kinds") / F.lit(common))).cast("int")).otherwise(F.lit(-1))
+    differ = alike.filter("kinds > 1").select("at.*", "key", (F.col("n") > 1).alias("often"), salt.alias("salt"))
+    wanted = differ.groupBy("_id", "_t").agg(F.collect_list(F.struct("key", "salt", "loc", "often")).alias("regions"))
     regions = base.join(wanted, ["_id", "_t"], "left").select("_id", "_t", F.when(F.col("regions").isNotNull(), F.col("_text")).alias("_text"), "regions")
-    regions = regions.mapInPandas(_cut_regions, "_id long, _t int, key long, start long, often boolean, bytes binary")
-    hot = cut(alike.filter(F.col("kinds") > common).select("key", "kinds").distinct(), "hot")
-    kinds = hot.agg(F.sum("kinds")).first()[0]
-    plain = regions.join(small(hot), "key", "left_anti") if kinds else regions
+    regions = regions.mapInPandas(_cut_regions, "_id long, _t int, key long, salt int, start long, lead int, often boolean, bytes binary")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    plain = plain.repartition(parts, "key").sortWithinPartitions("key", "_id", "_t", "start")
-    found = plain.mapInPandas(_sorted_shards(length, shard_bytes), "_id long, _t int, s long, e long")
-    if kinds:
-        ranges = max(1, kinds // 1000)
-        salt = F.pmod(F.xxhash64("_id", "_t", "start"), F.ceil(F.col("kinds") / F.lit(common))).cast("int")
-        salted = regions.join(small(hot), "key").withColumn("salt", salt).drop("kinds")
-        salted = salted.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "_id", "_t", "start")
-        local = cut(salted.mapInPandas(_salted_shards(length, ranges), "_id long, _t int, s long, e long, r int, prints binary"), "prints")
-        across = local.filter("r >= 0").groupBy("r").applyInPandas(_merge_prints(length), "_id long, _t int, s long, e long")
-        found = found.unionByName(local.filter("r < 0").select("_id", "_t", "s", "e")).unionByName(across)
-    return whole.unionByName(found)
+    regions = regions.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "_id", "_t", "start")
+    kinds = alike.filter(F.col("kinds") > common).groupBy("key").agg(F.first("kinds").alias("k")).agg(F.sum("k")).first()[0]
+    ranges = max(1, (kinds or 0) // 1000)
+    found = regions.mapInPandas(_shards(length, length - gram + 1, shard_bytes, ranges), "_id long, _t int, s long, e long, r int, prints binary")
+    if not kinds:
+        return whole.unionByName(found.select("_id", "_t", "s", "e"))
+    # both readers take all columns of one exchange, so that the shards are sorted once
+    found = found.repartition(parts, "r", "_id")
+    none = F.array().cast("array<struct<_id:bigint,_t:int,s:bigint,e:bigint,x:int>>")
+    local = found.select(F.explode(F.when(F.col("r") < 0, F.array(F.struct("_id", "_t", "s", "e", F.octet_length("prints").alias("x")))).otherwise(none)).alias("y"))
+    across = _ranges(found).groupBy("r").applyInPandas(_merge_prints(length), "_id long, _t int, s long, e long")
+    return whole.unionByName(local.select("y._id", "y._t", "y.s", "y.e")).unionByName(across)
+
+
+def _ranges(found: DataFrame) -> DataFrame:
+    none = F.array().cast("array<struct<_id:bigint,_t:int,s:bigint,e:bigint,r:int,prints:binary>>")
+    return found.select(F.explode(F.when(F.col("r") >= 0, F.array(F.struct("_id", "_t", "s", "e", "r", "prints"))).otherwise(none)).alias("y")).select("y.*")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, **options) -> DataFrame:
