@@ -4,24 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, MapType, StringType, StructField, StructType, TimestampType
 
 SCHEMA_VERSION = 5
 
+_TYPES = {
+    "long": LongType(), "int": IntegerType(), "string": StringType(), "boolean": BooleanType(), "timestamp": TimestampType(),
+    "strings": ArrayType(StringType()), "map": MapType(StringType(), StringType()),
+}
+
+
+def _struct(spec: str) -> StructType:
+    """A schema from "name type" items; an exclamation mark means!."""
+    fields = [x.split() for x in spec.split(",")]
+    return StructType([StructField(name, _TYPES[kind.rstrip("!")], not kind.endswith("!")) for name, kind in fields])
+
+
 TABLES: dict[str, StructType] = {
-    name: StructType.fromDDL(ddl)
-    for name, ddl in {
-        "files": "id long not null, path string not null, language string not null, summary string, last_indexed timestamp, hash string, raw_token_estimate long",
-        "symbols": "id long not null, file_id long not null, name string, kind string, signature string, summary string, start_line int, end_line int, is_exported boolean, is_async boolean, has_try_catch boolean",
-        "dependencies": "id long not null, from_file long not null, to_file long not null, symbol_name string",
-        "usages": "id long not null, symbol_id long not null, used_in_file long not null, used_at_line int",
-        "token_log": "id long not null, timestamp timestamp, session_id string, tool_name string, tokens_used long, tokens_without_index long, files_touched array<string>, query string",
-        "sessions": "id string not null, started_at timestamp, mode string, label string",
-        "documents": "id long not null, file_id long not null, chunk_index int, heading string, start_line int, end_line int, content string, summary string",
-        "context_entries": "id long not null, session_id string, content string, tags string, created_at timestamp",
-        "ast_snapshots": "id long not null, file_path string, symbol_name string, kind string, signature string, signature_hash string, captured_at timestamp",
-        "session_observations": "id long not null, session_id string, type string, file_path string, symbol_name string, observation string, stale boolean, stale_reason string, created_at timestamp",
-        "session_events": "id long not null, session_id string, event_type string, file_path string, symbol_name string, extra map<string,string>, timestamp timestamp",
+    name: _struct(spec)
+    for name, spec in {
+        "files": "id long!, path string!, language string!, summary string, last_indexed timestamp, hash string, raw_token_estimate long",
+        "symbols": "id long!, file_id long!, name string, kind string, signature string, summary string, start_line int, end_line int, is_exported boolean, is_async boolean, has_try_catch boolean",
+        "dependencies": "id long!, from_file long!, to_file long!, symbol_name string",
+        "usages": "id long!, symbol_id long!, used_in_file long!, used_at_line int",
+        "token_log": "id long!, timestamp timestamp, session_id string, tool_name string, tokens_used long, tokens_without_index long, files_touched strings, query string",
+        "sessions": "id string!, started_at timestamp, mode string, label string",
+        "documents": "id long!, file_id long!, chunk_index int, heading string, start_line int, end_line int, content string, summary string",
+        "context_entries": "id long!, session_id string, content string, tags string, created_at timestamp",
+        "ast_snapshots": "id long!, file_path string, symbol_name string, kind string, signature string, signature_hash string, captured_at timestamp",
+        "session_observations": "id long!, session_id string, type string, file_path string, symbol_name string, observation string, stale boolean, stale_reason string, created_at timestamp",
+        "session_events": "id long!, session_id string, event_type string, file_path string, symbol_name string, extra map, timestamp timestamp",
     }.items()
 }
 #: The key that a table's rows are unique by, beside id.
