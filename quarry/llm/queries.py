@@ -88,7 +88,7 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
 FROM g
 """
 
-_WORDS5 = f"list_filter(regexp_split_to_array({_ASCII_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '')"
+_WORDS5 = f"list_filter(regexp_split_to_array({_ASCII_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
 OP5 = f"""
 WITH d AS (SELECT doc_id, {_WORDS5} AS w FROM documents),
@@ -107,6 +107,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN who USING (doc_id)
 """
 
+OP7 = """
+WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
+h AS (SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || size), 1, 12) AS BIGINT) AS h FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM h GROUP BY source),
+w AS (SELECT *, CAST([3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS DOUBLE) AS w, source_size * 2.0::DOUBLE AS cap FROM s),
+r AS (SELECT *, cap / w AS ratio FROM w),
+c AS (SELECT *, coalesce(sum(cap) OVER b, 0) AS cap_before, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS w_left, sum(source_size) OVER () * 1.5::DOUBLE AS whole FROM r
+      WINDOW b AS (ORDER BY ratio, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (whole - cap_before) / w_left AS level FROM c),
+lv AS (SELECT arg_min(level, ratio) AS level FROM l WHERE ratio > level),
+t AS (SELECT source, source_size, CASE WHEN lv.level IS NULL THEN cap ELSE least(cap, lv.level * w) END AS target FROM l, lv),
+g AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT) AS base FROM t),
+q AS (SELECT *, target - base * source_size AS rest FROM g),
+b AS (SELECT h.source, h.h, sum(size) AS n FROM h GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY h ROWS UNBOUNDED PRECEDING) AS upto FROM b),
+e AS (SELECT u.source, arg_min(u.h + CASE WHEN (q.rest - (u.upto - u.n)) * 2 >= u.n THEN 1 ELSE 0 END, u.h) AS below FROM u JOIN q ON u.source IS NOT DISTINCT FROM q.source WHERE u.upto > q.rest GROUP BY u.source)
+SELECT doc_id, size, source_size, target, size * (base + CASE WHEN h.h < coalesce(below, 0) THEN 1 ELSE 0 END) AS taken
+FROM h JOIN q ON h.source IS NOT DISTINCT FROM q.source LEFT JOIN e ON h.source IS NOT DISTINCT FROM e.source
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3, "op4_warc": OP4, "op5_decontaminate": OP5}
+    return {"op3_exact_dedup": OP3, "op4_warc": OP4, "op5_decontaminate": OP5, "op7_mixing": OP7}
