@@ -15,6 +15,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE_SPLIT = r"[\x20\x09-\x0D]+"
 #: Rows up to which a narrow table may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 50_000
+#: Bytes up to which a table of wider rows may be broadcast.
+BROADCAST_BYTES = 16 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -62,9 +64,13 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most ``rows`` narrow rows, else df as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most ``rows`` rows, and, where ``size`` estimates a row's bytes, at most
+    BROADCAST_BYTES of them; else df as it is, which is joined by a shuffle. Rows without ``size`` must be narrow."""
+    if size is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= BROADCAST_BYTES else df
 
 
 def ascii_lower(c: Column) -> Column:

@@ -79,10 +79,11 @@ def decontaminate(
         lie = met.join(small(cut(prefix, "prefix")), ["g", "s"]).select("_id", "_t", "key", "len", (F.col("at") - F.col("p")).alias("shift"))
         # positional bound: a window of the item starts inside the document
         lie = lie.filter(F.col("shift") > -F.col("len")).groupBy("_id", "_t", "key", "shift").agg(F.first("len").alias("len"))
-        lie = lie.join(small(items.select("key", "item", "iw")), "key").groupBy("_id", "_t").agg(
+        lie = lie.join(small(items.select("key", "item", "iw"), size=24 * F.size("iw")), "key").groupBy("_id", "_t").agg(
             F.collect_list(F.struct("shift", "item", "iw")).alias("lies")
         )
-        lie = small(cut(lie, "alignments"))
+        words_in = F.aggregate("lies", F.lit(0), lambda a, x: a + 2 + F.size(x["iw"]))
+        lie = small(cut(lie, "alignments"), size=24 * words_in)
         w, n = F.col("w"), F.size("w")
 
         def covered(x: Column) -> Column:
@@ -111,7 +112,7 @@ def decontaminate(
     if hits is None:
         out = out.withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")})
     else:
-        out = out.join(small(hits), ["_id", "_t"], "left").withColumns(
+        out = out.join(small(hits, size=48 + 24 * F.size("items")), ["_id", "_t"], "left").withColumns(
             {"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))}
         )
     return out.select(

@@ -281,7 +281,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(
         F.col(id_col).cast("string").alias("_row"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host")
     )
-    style = small(cut(site_style(rows.select("host", "html")), "style"), 20_000)
+    style = cut(site_style(rows.select("host", "html")), "style")
+    style = small(style, size=F.length(F.array_join("paths", "|")) + 64)
     out = rows.join(style, "host", "left").select("_row", "url", "html", "paths").mapInPandas(_extract, "_row string, url string, text string")
     kind = pages.schema[id_col].dataType.simpleString()
     return out.select(F.col("_row").cast(kind).alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

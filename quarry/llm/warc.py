@@ -27,7 +27,7 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class _Put:
-    """A file that appears under its name only when complete: a task that is run again replaces it whole."""
+    """A file that appears under its name only when complete."""
 
     def __init__(self, folder: str, name: str):
         self.fs, base = _open(folder)
@@ -158,7 +158,10 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, n, out, z, held, count, made = TaskContext.get().partitionId(), 0, None, None, 0, 0, []
+        # names hold the attempt, so that a task that runs twice never writes over files that are already listed
+        context = TaskContext.get()
+        part, attempt = context.partitionId(), context.taskAttemptId()
+        n, out, z, held, count, made = 0, None, None, 0, 0, []
 
         def done():
             out.write(z.flush())
@@ -168,7 +171,7 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES)
         for df in batches:
             for page, url, payload, digest, refers in df[["page_id", "url", "payload", "digest", "refers_to"]].itertuples(index=False):
                 if out is None:
-                    out, z, held, count = _Put(folder, f"part-{part:05d}-{n:04d}.warc.gz"), zlib.compressobj(_LEVEL, zlib.DEFLATED, 31), 0, 0
+                    out, z, held, count = _Put(folder, f"part-{part:05d}-{attempt}-{n:04d}.warc.gz"), zlib.compressobj(_LEVEL, zlib.DEFLATED, 31), 0, 0
                     n += 1
                     info = build_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("info", part << 20 | n)), ("WARC-Date", "1970-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
                     out.write(z.compress(info))
@@ -191,9 +194,11 @@ def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
     """(path, …) -> (path, index): archives of one member per record, each with a sidecar index of JSON lines."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
         for df in batches:
             for path in df["path"]:
-                name = os.path.basename(path)
+                name = os.path.basename(path).removesuffix(".warc.gz") + f"-{TaskContext.get().taskAttemptId()}.warc.gz"
                 out = _Put(folder, name)
                 index = normalise(_stream(path), out.write)
                 out.close()
