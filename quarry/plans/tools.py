@@ -31,7 +31,7 @@ SCHEMAS = {
     "save_context": [("content", "text", True), ("tags", "string", False)],
     "get_session_memory": [("session_id", "string", False), ("file", "string", False), ("symbol", "string", False), ("include_stale", "bool", False)],
 }
-CORE_TOOLS = ("search_symbols", "get_symbol", "get_context", "get_file_summary", "get_dependencies", "find_usages", "search_docs", "get_doc_chunk")
+CORE_TOOLS = ("search_symbols", "get_symbol", "get_context", "get_file_summary", "find_usages", "get_dependencies", "get_project_overview", "get_api_endpoints")
 BASELINE_ERROR = "Index disabled for baseline measurement"
 ENTRY_POINT = r"(^|/)(index|main|app)\.(ts|tsx|js)$"
 # --- end of fixed values

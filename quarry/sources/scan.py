@@ -87,15 +87,15 @@ def lines_between(text: DataFrame, first: int, last: int, key: str = "path", con
     return lines.filter((F.col("pos") + 1).between(first, last)).select(key, (F.col("pos") + 1).alias("line"), "text")
 
 
-def project_root(start: str) -> str | None:
-    """The nearest folder at or above ``start`` that holds a root marker."""
+def project_root(start: str) -> str:
+    """The nearest folder at or above ``start`` that holds a root marker, else ``start``."""
     here = os.path.abspath(start)
     while True:
         if any(os.path.exists(os.path.join(here, m)) for m in ROOT_MARKERS):
             return here
         up = os.path.dirname(here)
         if up == here:
-            return None
+            return os.path.abspath(start)
         here = up
 
 
