@@ -106,3 +106,19 @@ def line_slice(text: Column, start: Column, count: int) -> Column:
 def percent(part: Column, whole: Column) -> Column:
     """part of whole in percent with one decimal, 0 where whole is 0."""
     return F.when(whole > 0, js_round(part / whole * 1000) / 10).otherwise(F.lit(0.0))
+
+
+def short_number(c: Column) -> Column:
+    """Thousands as K and millions as M with one decimal."""
+    v = c.cast("double")
+    return F.when(v >= 1e6, F.format_string("%.1fM", v / 1e6)).when(v >= 1e3, F.format_string("%.1fK", v / 1e3)).otherwise(c.cast("string"))
+
+
+def duration_text(begin: Column, end: Column) -> Column:
+    """Minutes between two times, hours with one decimal from sixty on; null unless end is later."""
+    ms = F.unix_millis(end) - F.unix_millis(begin)
+    m = js_round(ms / 60_000)
+    gap = "\u202f"
+    return F.when(
+        ms > 0, F.when(m < 1, F.lit(f"<1{gap}min")).when(m < 60, F.concat(m.cast("string"), F.lit(f"{gap}min"))).otherwise(F.concat(F.format_string("%.1f", m / 60), F.lit(f"{gap}h")))
+    )

@@ -560,6 +560,157 @@ def stale_warning(v):
     return g.select("session_id", "n", memory.stale_warning(F.col("n")).alias("warning"))
 
 
+# --- further scalars, joins and sets
+
+_URL_PATH = "regexp_replace(url, '^[a-z]+://', '')"
+
+
+@query(
+    f"""WITH u AS (SELECT page_id, {_URL_PATH} AS p FROM pages) SELECT page_id, reverse(split_part(reverse(p), '/', 1)) AS name, CASE WHEN contains(p, '/') THEN regexp_replace(p, '/[^/]*$', '') ELSE '.' END AS folder,
+ CASE WHEN contains(p, '/') THEN regexp_replace(regexp_replace(p, '/[^/]*$', ''), '(^|/)[^/]*$', '') || CASE WHEN regexp_matches(regexp_replace(p, '/[^/]*$', ''), '/') THEN '/x' ELSE 'x' END ELSE '../x' END AS joined FROM u"""
+)
+def path_functions(v):
+    p = F.regexp_replace("url", "^[a-z]+://", "")
+    u = v.raw("pages").select("page_id", p.alias("p")).filter(F.col("p").isNotNull())
+    folder = scalars.dirname(F.col("p"))
+    return u.select("page_id", scalars.basename(F.col("p")).alias("name"), folder.alias("folder"), scalars.join_path(folder, F.lit("../x")).alias("joined"))
+
+
+@query(
+    f"""WITH u AS (SELECT page_id, {_URL_PATH} AS p FROM pages), n AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'src/' || p WHEN 1 THEN 'node_modules/' || p WHEN 2 THEN 'a/dist/' || p ELSE 'a/b.min.js' END AS path FROM u)
+SELECT page_id FROM n WHERE NOT regexp_matches(path, '(?:^|/)(?:node_modules|\.git|dist|build|\.next|target|\.gradle|out|__pycache__|\.venv|venv|vendor)/|(?:\.min\.js|\.d\.ts|\.pyc)$')"""
+)
+def ignored_paths(v):
+    p = F.regexp_replace("url", "^[a-z]+://", "")
+    k = F.col("page_id") % 4
+    path = F.when(k == 0, F.concat(F.lit("src/"), p)).when(k == 1, F.concat(F.lit("node_modules/"), p)).when(k == 2, F.concat(F.lit("a/dist/"), p)).otherwise("a/b.min.js")
+    return v.raw("pages").select("page_id", path.alias("path")).filter(~F.col("path").rlike(scan.IGNORE_PATTERN)).select("page_id")
+
+
+@query("SELECT conv_id, turn, upper(role) AS method, '/' || conv_id || '/' || turn AS path FROM conversations")
+def route_split(v):
+    name = F.concat(F.upper("role"), F.lit(" /"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    method, path = scalars.route_parts(F.col("name"), F.col("role"))
+    return v.raw("conversations").withColumn("name", name).select("conv_id", "turn", method.alias("method"), path.alias("path"))
+
+
+@query("SELECT doc_id AS id, md5(array_to_string(string_split(text, chr(10))[1:5], chr(10))) AS snippet_hash FROM documents")
+def snippet_lines(v):
+    return v.texts.select("id", F.md5(scalars.line_slice(F.col("content"), F.lit(1), 5)).alias("snippet_hash"))
+
+
+@query("SELECT page_id, CAST(ceil(length(html) / 4) AS BIGINT) AS tokens, octet_length(encode(html)) <= 1048576 AS within_limit FROM pages")
+def page_tokens_and_size(v):
+    h = F.col("html")
+    return v.raw("pages").select("page_id", scalars.estimate_tokens(h).alias("tokens"), (F.octet_length(h) <= scan.MAX_FILE_BYTES).alias("within_limit"))
+
+
+@query("SELECT p_partkey AS id, p_name AS name, count(l_orderkey) AS uses, max(l_quantity) > 49 AS has_stale FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE p_partkey <= 50 GROUP BY ALL")
+def symbol_join_aggregate(v):
+    part = v.raw("part").filter("p_partkey <= 50").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    li = v.raw("lineitem").select(F.col("l_partkey").alias("id"), "l_orderkey", "l_quantity")
+    return part.join(li, "id", "left").groupBy("id", "name").agg(F.count("l_orderkey").alias("uses"), F.bool_or(F.col("l_quantity") > 49).alias("has_stale"))
+
+
+@query("SELECT user_id AS session_id, event_id AS id, n FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 3")
+def latest_observations(v):
+    w = Window.partitionBy("session_id").orderBy(F.desc("timestamp"), F.desc("id"))
+    return v.events.withColumn("n", F.row_number().over(w)).filter("n <= 3").select("session_id", "id", "n")
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value > 50)
+SELECT 'both' AS part, user_id FROM a JOIN b USING (user_id) UNION ALL SELECT 'first' AS part, user_id FROM a WHERE user_id NOT IN (SELECT user_id FROM b) UNION ALL SELECT 'second' AS part, user_id FROM b WHERE user_id NOT IN (SELECT user_id FROM a)"""
+)
+def set_differences(v):
+    e = v.raw("events")
+    a, b = e.filter("event_type = 'view'").select("user_id").distinct(), e.filter("event_type = 'error' AND value > 50").select("user_id").distinct()
+    tag = lambda df, t: df.select(F.lit(t).alias("part"), "user_id")
+    return tag(a.intersect(b), "both").unionByName(tag(a.subtract(b), "first")).unionByName(tag(b.subtract(a), "second"))
+
+
+@query(f"WITH {_LOG} SELECT count(DISTINCT session_id) AS sessions, CAST(sum(tokens_used) AS BIGINT) AS tokens, CAST(sum(tokens_without_index - tokens_used) AS BIGINT) AS savings FROM log")
+def history_totals(v):
+    return dashboards.history_totals(tokens.with_totals(v.sessions, v.token_log))
+
+
+@query(
+    f"""WITH {_SAVINGS}, {_FILES}, p AS (SELECT DISTINCT user_id % 7 AS project FROM events), s AS (SELECT user_id % 7 AS project, count(DISTINCT user_id) AS n FROM events GROUP BY 1), f AS (SELECT id % 7 AS project, count(*) AS n FROM files GROUP BY 1)
+SELECT p.project, coalesce(f.n, 0) AS file_count, coalesce(s.n, 0) AS session_count, coalesce(tokens_saved, 0) AS tokens_saved, coalesce(tokens_actual, 0) AS tokens_actual, coalesce(savings_percent, 0) AS savings_percent FROM p LEFT JOIN f USING (project) LEFT JOIN s USING (project) LEFT JOIN sv USING (project)"""
+)
+def project_stats(v):
+    projects = v.sessions.select("project").distinct()
+    files = v.files.select((F.col("id") % 7).alias("project"), F.lit(None).cast("timestamp").alias("last_indexed"))
+    s = dashboards.project_stats(projects, files, files.limit(0), v.sessions, v.token_log)
+    return s.select("project", "file_count", "session_count", "tokens_saved", "tokens_actual", "savings_percent")
+
+
+@query(
+    """SELECT event_id AS id, CASE event_type WHEN 'error' THEN 'tool_error' WHEN 'purchase' THEN 'accessed' WHEN 'click' THEN CASE WHEN value > 50 THEN 'accessed' ELSE 'index_blind_spot' END WHEN 'view' THEN 'failed_search' END AS event_type FROM events
+WHERE event_type IN ('error', 'purchase', 'click') OR (event_type = 'view' AND value < 20)"""
+)
+def observe_calls(v):
+    tool = F.when(F.col("event_type") == "click", "get_symbol").when(F.col("event_type") == "purchase", "get_context").when(F.col("event_type") == "view", "search_symbols").otherwise("search_docs")
+    calls = v.events.select(
+        F.col("id").cast("string").alias("session_id"), tool.alias("tool"), F.col("file_path").alias("file"), F.lit(None).cast("string").alias("target"), F.lit("s").alias("symbol"), F.col("file_path").alias("query"),
+        (F.col("event_type") == "error").alias("error"), F.when(F.col("event_type") == "click", F.col("value") > 50).otherwise(F.col("value") >= 20).alias("found"), F.lit(True).alias("exists"), F.col("timestamp"),
+    )
+    return memory.observe_calls(calls).select(F.col("session_id").cast("long").alias("id"), "event_type")
+
+
+@query("SELECT user_id AS session_id, event_id AS id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nth FROM events")
+def keyed_counters(v):
+    w = Window.partitionBy("session_id", "event_type").orderBy("timestamp", "id")
+    return v.events.select("session_id", "id", F.row_number().over(w).alias("nth"))
+
+
+def _stream(v: Views, shape, run) -> DataFrame:
+    """Run a stream over the events file to its end, into a table in memory."""
+    raw = v.raw("events")
+    rows = v.spark.readStream.schema(raw.schema).parquet(f"{v.dir}/events.parquet*")
+    name = f"stream_{abs(hash((v.dir, run.__name__))) % 10**9}"
+    q = run(shape(rows)).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return v.spark.table(name)
+
+
+@query(
+    f"""WITH {_LOG}, r AS (SELECT id, sum(tokens_used) OVER w AS cumulative_actual, sum(tokens_without_index - tokens_used) OVER w AS cumulative_savings FROM log WINDOW w AS (PARTITION BY session_id ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING))
+SELECT id, CAST(cumulative_actual AS BIGINT) AS cumulative_actual, CAST(cumulative_savings AS BIGINT) AS cumulative_savings FROM r"""
+)
+def stream_running_totals(v):
+    from ..streaming import events as streams
+
+    def shape(rows):
+        table = F.create_map(*[F.lit(x) for k, t in TOOL_OF_EVENT.items() for x in (k, t)])
+        used = F.floor("value").cast("long")
+        tool = F.coalesce(F.try_element_at(table, F.col("event_type")), F.lit("reindex"))
+        return rows.select(
+            F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("timestamp"), used.alias("tokens_used"),
+            tokens.logged_estimate(tool, used, F.lit(True)).alias("tokens_without_index"),
+        )
+
+    return _stream(v, shape, streams.running_totals).select("id", "cumulative_actual", "cumulative_savings")
+
+
+@query(
+    f"""SELECT session_id, key, {_STAMP('ts')} AS timestamp FROM (SELECT CAST(user_id AS VARCHAR) AS session_id, json_extract_string(props, '$.k') AS key, ts, row_number() OVER (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY ts) AS n FROM events) WHERE n = 3"""
+)
+def stream_failed_search_alerts(v):
+    from ..streaming import events as streams
+
+    def shape(rows):
+        return rows.select(
+            F.col("user_id").cast("string").alias("session_id"), F.lit("failed_search").alias("event_type"), F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("string").alias("symbol_name"),
+            F.create_map(F.lit("query"), F.get_json_object("props", "$.k")).alias("extra"), F.col("ts").cast("timestamp").alias("timestamp"),
+        )
+
+    def run(rows):
+        return streams.threshold_alerts(streams.counted_events(rows))
+
+    return _stream(v, shape, run).select("session_id", "key", stamp("timestamp").alias("timestamp"))
+
+
 # --- extractors (no SQL form)
 
 
