@@ -42,6 +42,18 @@ def build_index(corpus: DataFrame, columns: tuple[str, ...], id_col: str = "id",
     return postings, lengths
 
 
+def save_index(postings: DataFrame, lengths: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Write an index in the order of its terms: a query's terms, and a prefix, then prune files and row groups by their
+    minima and maxima. Very frequent terms spread over several files, as the id is part of the range."""
+    ranged = postings.repartitionByRange(*([partitions] if partitions else []), "term", "id")
+    ranged.sortWithinPartitions("term", "id", "col", "pos").write.mode("overwrite").parquet(f"{path}/postings")
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def load_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+
+
 def refresh_index(postings: DataFrame, lengths: DataFrame, changed: DataFrame, removed: DataFrame, columns: tuple[str, ...], id_col: str = "id"):
     """The index after rows changed (new contents) and ids were removed: their postings are replaced."""
     gone = changed.select(F.col(id_col).alias("id")).unionByName(removed.select(F.col(id_col).alias("id"))).distinct()

@@ -80,6 +80,7 @@ class Project:
     session_id: str = "default"
     baseline: bool = False
     federated: dict[str, Project] = field(default_factory=dict)
+    index_dir: str | None = None  # saved full-text indexes, one folder per table
     _indexes: dict = field(default_factory=dict)
 
     @classmethod
@@ -93,10 +94,20 @@ class Project:
 
     def index(self, table: str, columns: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
         if table not in self._indexes:
-            p, n = fts.build_index(self[table], columns)
-            self._indexes[table] = (p.persist(), n.persist())
+            if self.index_dir:
+                self._indexes[table] = fts.load_index(self.spark, f"{self.index_dir}/{table}")
+            else:
+                p, n = fts.build_index(self[table], columns)
+                self._indexes[table] = (p.persist(), n.persist())
         return self._indexes[table]
 
+    def save_indexes(self, index_dir: str) -> None:
+        """Write the full-text indexes of all searched tables, and search there from now on."""
+        for table, columns in (("symbols", SYMBOL_COLUMNS), ("documents", DOCUMENT_COLUMNS), ("context_entries", CONTEXT_COLUMNS)):
+            fts.save_index(*fts.build_index(self[table], columns), f"{index_dir}/{table}")
+        self.index_dir = index_dir
+        self._indexes.clear()
+
     def call(self, tool: str, **args):
         if self.baseline and tool not in ("start_comparison", "get_token_stats"):
             raise ToolError(BASELINE_ERROR)
@@ -327,7 +338,7 @@ def save_context(p: Project, content: str, tags: str | None = None) -> DataFrame
     top = p["context_entries"].agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first().m
     row = p.spark.createDataFrame([(top + 1, p.session_id, content, tags)], "id long, session_id string, content string, tags string").withColumn("created_at", F.current_timestamp())
     p.tables["context_entries"] = p["context_entries"].unionByName(dml.schema_like(row, p["context_entries"]))
-    p._indexes.pop("context_entries", None)
+    p._indexes["context_entries"] = fts.build_index(p["context_entries"], CONTEXT_COLUMNS)
     return row.select("id", "created_at")
 
 
@@ -363,6 +374,7 @@ def reindex(p: Project, target: str | None = None, languages=scan.DEFAULT_LANGUA
     tables, status = index_files(p.tables, files, whole=target is None, force=force)
     p.tables.update(tables)
     p._indexes.clear()
+    p.index_dir = None  # saved indexes are of the tables before
     return status
 
 
