@@ -71,13 +71,10 @@ def events_of_changes(changes: DataFrame, session_id: Column, timestamp: Column)
 
 
 def observations_of_changes(change_events: DataFrame, accessed: DataFrame) -> DataFrame:
-    """Observations for changes of files or symbols that the session has accessed. accessed: session_id, file_path,
-    symbol_name (null: the file as a whole)."""
-    e = change_events
-    by_file = accessed.select("session_id", "file_path").filter("file_path IS NOT NULL").distinct()
-    by_symbol = accessed.filter("symbol_name IS NOT NULL AND file_path IS NULL").select("session_id", "symbol_name").distinct()
-    marked = e.join(by_file.withColumn("_f", F.lit(True)), ["session_id", "file_path"], "left").join(by_symbol.withColumn("_s", F.lit(True)), ["session_id", "symbol_name"], "left")
-    return marked.filter("_f OR _s").select(
+    """Observations for changes in files that the session has accessed, as a whole or a symbol of them. accessed:
+    session_id, file_path; accesses without a file (usage searches) do not count."""
+    by_file = accessed.filter("file_path IS NOT NULL").select("session_id", "file_path")
+    return change_events.join(by_file, ["session_id", "file_path"], "left_semi").select(
         "session_id", F.col("event_type").alias("type"), "file_path", "symbol_name", F.col("extra")["description"].alias("observation"), F.lit(False).alias("stale"), F.col("timestamp").alias("created_at")
     )
 

@@ -72,6 +72,9 @@ def index_files(tables: dict[str, DataFrame], scanned: DataFrame, whole: bool =
     if session_id is not None:
         events = memory.events_of_changes(changes, F.lit(session_id), F.current_timestamp())
         out["session_observations"] = dml.mark_stale(out["session_observations"], changes.filter("type <> 'added'"))
+        accessed = out["session_events"].filter("event_type = 'accessed'")
+        notes = memory.observations_of_changes(events, accessed)
+        out["session_observations"] = dml.append(out["session_observations"], notes, ["file_path", "type", "symbol_name"])
         out["session_events"] = dml.append(out["session_events"], events, ["file_path", "event_type", "symbol_name"])
     snaps = memory.updated_snapshots(out["ast_snapshots"], new_snap, looked).withColumn("captured_at", F.current_timestamp())
     out["ast_snapshots"] = dml.schema_like(dml.with_ids(snaps, out["ast_snapshots"].limit(0), ["file_path", "symbol_name"]), out["ast_snapshots"])
