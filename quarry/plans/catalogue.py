@@ -578,7 +578,7 @@ def path_functions(v):
 
 @query(
     f"""WITH u AS (SELECT page_id, {_URL_PATH} AS p FROM pages), n AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'src/' || p WHEN 1 THEN 'node_modules/' || p WHEN 2 THEN 'a/dist/' || p ELSE 'a/b.min.js' END AS path FROM u)
-SELECT page_id FROM n WHERE NOT regexp_matches(path, '(?:^|/)(?:node_modules|\.git|dist|build|\.next|target|\.gradle|out|__pycache__|\.venv|venv|vendor)/|(?:\.min\.js|\.d\.ts|\.pyc)$')"""
+SELECT page_id FROM n WHERE NOT regexp_matches(path, '(?:^|/)(?:node_modules|\\.git|dist|build|\\.next|target|\\.gradle|out|__pycache__|\\.venv|venv|vendor)/|(?:\\.min\\.js|\\.d\\.ts|\\.pyc)$')"""
 )
 def ignored_paths(v):
     p = F.regexp_replace("url", "^[a-z]+://", "")
