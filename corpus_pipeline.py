@@ -16,7 +16,7 @@ from quarry.llm import common, decontam, exact_dedup, minhash, mixing, quality
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble scores at 0.5 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.score_quality(docs, labels).filter(F.col("predicted") == 1).select(*docs.columns)
+    return quality.keep_good(docs, labels)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

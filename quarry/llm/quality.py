@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_SPLIT
 
 #: Labelled rows that are fitted on, at most; those of the least id hashes.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 _TREES, _DEPTH, _BINS = 40, 3, 24
 
 
@@ -99,7 +99,7 @@ def _grow(binned, cuts, grad, names, rows, path, depth, features, out) -> None:
         _grow(binned, cuts, grad, names, side, [*path, (names[f], above, float(cuts[f][k]))], depth - 1, features, out)
 
 
-def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray, seed: int = 1, l1: float = 3e-4, rounds: int = 400) -> RuleEnsemble:
+def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray, seed: int = 1, l1: float = 2e-3, rounds: int = 400) -> RuleEnsemble:
     """Boosted shallow trees propose rules; lasso logistic regression (accelerated proximal gradient) keeps a sparse set.
     With fewer than two classes the score is the share of label 1, smoothed."""
     n, ones = len(y), float(y.sum()) if len(y) else 0.0
@@ -124,11 +124,18 @@ def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray, seed: int = 1, l1:
             z[ok] += 0.4 * (y[ok] - p).sum() / ((p * (1 - p)).sum() + 1)
         rules += found
     rules = list(dict.fromkeys(rules))
-    a = np.stack([_holds(r, names, x) for r in rules], axis=1).astype(np.float32) if rules else np.zeros((n, 0), np.float32)
+    a = np.empty((n, len(rules)), dtype=np.float32)
+    for k, r in enumerate(rules):
+        a[:, k] = _holds(r, names, x)
     share = a.mean(axis=0)
-    rules, a = [r for r, s in zip(rules, share, strict=True) if 0 < s < 1], a[:, (share > 0) & (share < 1)]
+    mixed = (share > 0) & (share < 1)
+    rules, a = [r for r, ok in zip(rules, mixed, strict=True) if ok], a if mixed.all() else a[:, mixed]
     w, v, b, vb, t = np.zeros(a.shape[1]), np.zeros(a.shape[1]), prior, prior, 1.0
-    step = 4.0 / (1 + np.linalg.norm(a, 2) ** 2 / n)
+    # the largest eigenvalue of a'a by power iteration bounds the step
+    u = np.ones(a.shape[1], dtype=np.float32)
+    for _ in range(30):
+        u = a.T @ (a @ (u / max(np.linalg.norm(u), 1e-12)))
+    step = 4.0 / (1 + 1.05 * np.linalg.norm(u) / n)
     for _ in range(rounds):
         r = 1 / (1 + np.exp(-(a @ v.astype(np.float32) + vb))) - y
         w_new = v - step * (a.T @ r.astype(np.float32)) / n
@@ -175,3 +182,12 @@ def score_quality(
     return out.withColumns(
         {"held_out": in_fold(id_col, fit.get("folds", 3), fit.get("held_out", 1)), "predicted": (F.col("score") >= 0.5).cast("int")}
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The input's rows that score 0.5 or more, with all their columns.
+
+    A filter on the score would be pushed below the statistics, with their expressions repeated for every rule; rows are
+    dropped by an explode of none or one instead, which stays above them."""
+    once = F.explode(F.when(F.col("predicted") == 1, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+    return score_quality(docs, labels, **options).select(*docs.columns, once.alias("_once")).drop("_once")
