@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -162,20 +164,24 @@ def change_windows(events: DataFrame, minutes: int = THRASH_MINUTES, types: tupl
 def thrashing(events: DataFrame, least: int = THRASH_EVENTS, minutes: int = THRASH_MINUTES, types: tuple[str, ...] = CHANGE_EVENTS) -> DataFrame:
     """Bursts of changes to a file; after one is reported the next waits for ``minutes``.
 
-    Whether a row reports depends on the last report, so the candidates of a session and file are folded in order."""
+    Whether a row reports depends on the last report, so the candidates are read in order of session, file and time;
+    only the last report is held."""
     hot = change_windows(events, minutes, types).filter(F.col("recent") >= least)
     wait = pd.Timedelta(minutes=minutes)
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        keep, last = [], None
-        df = df.sort_values(["timestamp", "id"])
-        for t in df["timestamp"]:
-            keep.append(last is None or t - last >= wait)
-            last = t if keep[-1] else last
-        return df[keep]
-
-    kept = hot.select("id", "session_id", "file_path", "timestamp", "recent")
-    kept = kept.groupBy("session_id", "file_path").applyInPandas(run, kept.schema).withColumn("symbol_name", F.lit(None).cast("string"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        was, last = None, None  # the key and its last report, carried over batches
+        for df in batches:
+            keep = []
+            for key, t in zip(zip(df["session_id"], df["file_path"], strict=True), df["timestamp"], strict=True):
+                if key != was:
+                    was, last = key, None
+                keep.append(last is None or t - last >= wait)
+                last = t if keep[-1] else last
+            yield df[keep]
+
+    kept = hot.select("id", "session_id", "file_path", "timestamp", "recent").repartition("session_id", "file_path").sortWithinPartitions("session_id", "file_path", "timestamp", "id")
+    kept = kept.mapInPandas(run, kept.schema).withColumn("symbol_name", F.lit(None).cast("string"))
     return _found(
         kept, "thrash_detected", _extra(change_count=F.col("recent"), window_minutes=F.lit(minutes)), F.format_string(THRASHING, "file_path", "recent", F.lit(minutes))
     )
