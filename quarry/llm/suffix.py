@@ -47,16 +47,15 @@ def suffix_array(
     refine only those whose rank a wanted suffix still looks up."""
     n = len(data)
     w8 = words8(data) if w8 is None else w8
-    sa = np.argsort(w8)
+    sa = np.argsort(w8).astype(np.int32)  # half-size numbers, as most of the time goes to memory
     key = w8[sa]
-    rank = np.empty(n + 1, dtype=np.int64)
-    rank[n] = 0
+    rank = np.zeros(n + depth, dtype=np.int32)  # zeros stand for what is past the end
     first = np.concatenate([[True], key[1:] != key[:-1]]) if n else np.zeros(0, dtype=bool)
     # eight zero bytes at the end may be padding: the refinement below tells such suffixes apart by what follows
-    group = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    rank[sa] = group + 1
+    group = np.maximum.accumulate(np.where(first, np.arange(n, dtype=np.int32), 0))
+    rank[sa] = group + np.int32(1)
     h = 8
-    tied = np.flatnonzero(~(first & np.concatenate([first[1:], [True]]))) if n else np.zeros(0, dtype=np.int64)
+    tied = np.flatnonzero(~(first & np.concatenate([first[1:], [True]]))).astype(np.int32) if n else np.zeros(0, dtype=np.int32)
     while h < depth and len(tied):
         step = min(h, depth - h)
         at = sa[tied]
@@ -69,14 +68,12 @@ def suffix_array(
             tied, at = tied[used], at[used]
             if not len(tied):
                 break
-        follow = rank[np.minimum(at + step, n)]
-        both = (rank[at] << np.int64(32)) | follow
+        both = rank[at].astype(np.int64) << np.int64(32) | rank[at + np.int32(step)]
         order = np.argsort(both)
-        both = both[order]
-        sa[tied] = at[order]
+        both, at = both[order], at[order]
+        sa[tied] = at
         new = np.concatenate([[True], both[1:] != both[:-1]])
-        place = np.maximum.accumulate(np.where(new, tied, 0))
-        rank[sa[tied]] = place + 1
+        rank[at] = np.maximum.accumulate(np.where(new, tied, 0)) + np.int32(1)
         last = np.concatenate([new[1:], [True]])
         tied = tied[~(new & last)]
         h += step
@@ -307,9 +304,10 @@ def _prune(df: pd.DataFrame, length: int, span: int) -> pd.DataFrame:
         # window starts in the region, from the farthest to the nearest of the class
         a, b = np.maximum(lead - hi, 0), np.minimum(lead - lo, size - length)
         ok = np.flatnonzero(a <= b)
-        core = ph.of(begin[ok] + lead[ok] - lo, begin[ok] + lead[ok] - hi + length).view(np.int64)
-        _, inv, n = np.unique(np.stack([key[ok], core]), axis=1, return_inverse=True, return_counts=True)
-        twice = ok[n[inv.ravel()] > 1]
+        core = ph.of(begin[ok] + lead[ok] - lo, begin[ok] + lead[ok] - hi + length)
+        # one number for key and core: should two fall together, a class is sorted for nothing
+        _, inv, n = np.unique(core + mix(key[ok].view(np.uint64)), return_inverse=True, return_counts=True)
+        twice = ok[n[inv] > 1]
         first[twice] = np.minimum(first[twice], a[twice])
         last[twice] = np.maximum(last[twice], b[twice])
     keep = np.flatnonzero(last >= 0)
