@@ -2,51 +2,95 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, bounded_batches, chunks, cut, small, word_hashes
+from .common import LOWER_TABLE, bounded_batches, chunks, cut, new_path, small, word_hashes
+from .warc import _open
 
-#: A word is in the vocabulary if it makes up this share of all tokens, a pair is kept if it makes up that share: so
-#: there are at most 1 / share of them at every size of the corpus.
-WORD_SHARE, PAIR_SHARE = 1 / 40_000, 1 / 1_000_000
+#: Words and pairs that occur this often are in the models; no share or count of the corpus bounds how many there are.
+LEAST = 2
 DISCOUNT, ALPHA = 0.6, 0.5
 _CHUNK = 1 << 20
-#: Distinct entries that a task holds before it passes its partial counts on.
-_HELD = 400_000
+#: Bytes of text in a block: documents in a row that look up their words and pairs together.
+BLOCK_BYTES = 16 << 20
+#: Rows that a task hands over at once.
+_ROWS = 200_000
+#: Word numbers have 31 bits, so that a pair (previous << 32 | word) has 63.
+_BEGIN, _UNKNOWN, _FIRST, _MOST = 0, 1, 2, 1 << 31
 
 
 @dataclass
-class BigramModels:
-    """Two bigram models over one vocabulary. words: sorted hashes; the word of index k has id k + 2, others have id 1,
-    the begin of a text has id 0. pairs: sorted ids (previous << 20 | word)."""
-
-    words: np.ndarray
-    pairs: np.ndarray
-    seen: np.ndarray  # (2, pairs): discounted probability, target and background
-    rest: np.ndarray  # (2, ids): weight of the unigram model after each id
-    single: np.ndarray  # (2, ids): unigram probability
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.ones(len(hashes), dtype=np.int64)
-        k = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[k] == hashes, k + 2, 1)
-
-    def losses(self, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """(2, tokens): -log2 of the probability of each token after the one before it."""
-        p = self.rest[:, before] * self.single[:, ids]
-        if len(self.pairs):
-            key = before << 20 | ids
-            k = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            hit = self.pairs[k] == key
-            p[:, hit] += self.seen[:, k[hit]]
-        return -np.log2(p)
+class Totals:
+    """Of target and background: tokens, texts with words, tokens of words outside the vocabulary; ``ids``: words and
+    the two markers."""
+
+    tokens: np.ndarray
+    texts: np.ndarray
+    unknown: np.ndarray
+    ids: int
+
+
+def _look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``wanted`` would be in the sorted ``keys``, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    k = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return k, keys[k] == wanted
+
+
+class _Words:
+    """What the models hold on the words of one block: place k is the k-th word, then come the begin marker and the
+    unknown word."""
+
+    def __init__(self, table: pd.DataFrame):
+        self.keys = table["k"].to_numpy(dtype=np.int64).view(np.uint64)
+        order = np.argsort(self.keys)
+        self.keys, self.table = self.keys[order], table.iloc[order]
+        self.begin, self.unknown = len(order), len(order) + 1
+        self.ids = np.concatenate([self.table["id"].to_numpy(dtype=np.int64), [_BEGIN, _UNKNOWN]])
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        k, known = _look_up(self.keys, hashes)
+        return np.where(known, k, self.unknown)
+
+    def before(self, places: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return _previous(places, at, self.begin)
+
+    def pairs(self, before: np.ndarray, places: np.ndarray) -> np.ndarray:
+        return self.ids[before] << 32 | self.ids[places]
+
+    def column(self, names: tuple[str, str], begin, unknown) -> np.ndarray:
+        """(2, places) of two columns, with the values of the markers."""
+        own = self.table[list(names)].to_numpy(dtype=float).T
+        return np.concatenate([own, np.array([begin, unknown], dtype=float).T], axis=1)
+
+
+def _read(folder: str, block: int) -> pd.DataFrame | None:
+    """The rows that belong to a block, or None if there are none."""
+    store, base = _open(f"{folder}/block={block}")
+    if store.get_file_info(base).type == fs.FileType.NotFound:
+        return None
+    return pq.read_table(base, filesystem=store, partitioning=None, use_threads=False).to_pandas()
+
+
+def _read_words(folder: str, block: int) -> _Words:
+    found = _read(folder, block)
+    return _Words(pd.DataFrame({c: [] for c in ("k", "id", "t", "n", "rt", "rn")}) if found is None else found)
+
+
+def _by_block(df: DataFrame, name: str) -> str:
+    """Write rows to a folder per block of the shared folder."""
+    path = new_path(df.sparkSession, name)
+    df.repartition("block").write.option("compression", "zstd").partitionBy("block").parquet(path)
+    return path
 
 
 def _tokens(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -56,11 +100,11 @@ def _tokens(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         yield a, b, words, at
 
 
-def _previous(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _previous(ids: np.ndarray, at: np.ndarray, begin: int = 0) -> np.ndarray:
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
     starts = at[:-1][at[:-1] < at[1:]]
-    before[starts] = 0
+    before[starts] = begin
     return before
 
 
@@ -87,98 +131,175 @@ class _Counts:
         return pd.DataFrame({"k": k.astype(np.uint64).view(np.int64), "t": sums[0], "n": sums[1]})
 
 
-def _count(model: BigramModels | None):
+def _blocks(size: int):
+    """Number the blocks of a task: its documents in order, ``size`` bytes of text each (a longer one stands alone)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held = 0, 0
+        for df in batches:
+            own = np.empty(len(df), dtype=np.int64)
+            for i, t in enumerate(df["_text"]):
+                n = len(t.encode())
+                if held and held + n > size:
+                    block, held = block + 1, 0
+                held += n
+                own[i] = block
+            df["block"] = df["_part"].to_numpy(dtype=np.int64) << 32 | own
+            yield df.drop(columns="_part")
+
+    return run
+
+
+def _parts(df: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+    """The runs of rows of one block."""
+    block = df["block"].to_numpy()
+    edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(df)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield int(block[a]), df.iloc[a:b]
+
+
+def _count(words_in: str | None):
+    """Counts by block, of words (and of the key 0: the texts that have words) or, with the words of the blocks, of pairs."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = _Counts()
+        counts, at_block, words_of = _Counts(), None, None
+
+        def out() -> Iterator[pd.DataFrame]:
+            found = counts.take()
+            for i in range(0, len(found), _ROWS):
+                yield found.iloc[i : i + _ROWS].assign(block=at_block)
+
         for df in batches:
-            target = df["target"].to_numpy(dtype=bool)
-            for a, b, words, at in _tokens(df["_text"].tolist()):
-                n = np.diff(at)
-                flags, full = np.repeat(target[a:b], n), n > 0
-                ends, marked = np.zeros(int(full.sum()), dtype=np.int64), target[a:b][full]
-                if model is None:
-                    counts.add(np.concatenate([words, ends.astype(np.uint64)]), np.concatenate([flags, marked]))
-                else:  # each text is closed by the marker too, so that what follows a word adds up to its count
-                    ids = model.ids(words)
-                    keys = np.concatenate([_previous(ids, at) << 20 | ids, ids[at[1:][full] - 1] << 20])
+            for block, part in _parts(df):
+                if block != at_block:
+                    yield from out()
+                    at_block, words_of = block, None if words_in is None else _read_words(words_in, block)
+                target = part["target"].to_numpy(dtype=bool)
+                for a, b, words, at in _tokens(part["_text"].tolist()):
+                    n = np.diff(at)
+                    flags, full = np.repeat(target[a:b], n), n > 0
+                    marked = target[a:b][full]
+                    if words_of is None:
+                        keys = np.concatenate([words, np.zeros(len(marked), dtype=np.uint64)])
+                    else:  # each text is closed by the marker too, so that what follows a word adds up to its count
+                        places = words_of.places(words)
+                        last = places[at[1:][full] - 1]
+                        keys = np.concatenate([words_of.pairs(words_of.before(places, at), places), words_of.ids[last] << 32 | _BEGIN])
                     counts.add(keys, np.concatenate([flags, marked]))
-                if counts.held > 4 * _HELD:
-                    out = counts.take()
-                    if len(out) > _HELD:
-                        yield out
-                    else:
-                        counts.parts, counts.held = [(out["k"].to_numpy().view(np.uint64) if model is None else out["k"].to_numpy(), out[["t", "n"]].to_numpy().T)], len(out)
-        yield counts.take()
+        yield from out()
 
     return run
 
 
-def fit_models(docs: DataFrame, target: Column, text_col: str = "text") -> BigramModels:
-    """Count words, then pairs, over all documents; ``target`` marks the documents of the target model, all of them
-    make the background. Partial counts are summed by Spark; what reaches the driver is bounded by the two shares."""
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(target, F.lit(False)).alias("target"))
-    schema = "k long, t long, n long"
-    words = rows.mapInPandas(_count(None), schema).groupBy("k").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    words = cut(words, "words")
-    # the key 0 counts the texts that have words
-    all_, texts = (x or (0, 0) for x in (words.filter("k <> 0").agg(F.sum("t"), F.sum("n")).first(), words.filter("k = 0").select("t", "n").first()))
-    all_ = np.array([all_[0] or 0, all_[1] or 0], dtype=float)
-    top = words.filter((F.col("k") != 0) & (F.col("n") >= max(2.0, all_[1] * WORD_SHARE))).toPandas()
-    top["u"] = top["k"].to_numpy(dtype=np.int64).view(np.uint64)
-    top = top.sort_values("u")
-    vocabulary, known = top["u"].to_numpy(), top[["t", "n"]].to_numpy(dtype=float).T
-    single = np.concatenate([np.array([texts], dtype=float).T, (all_ - known.sum(axis=1))[:, None], known], axis=1)
-    ids = len(vocabulary) + 2
-    model = BigramModels(vocabulary, np.zeros(0, dtype=np.int64), np.zeros((2, 0)), np.ones((2, ids)), np.full((2, ids), 1 / ids))
-    pairs = rows.mapInPandas(_count(model), schema).groupBy("k").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    best = pairs.filter(F.col("n") >= max(2.0, all_[1] * PAIR_SHARE)).toPandas().sort_values("k")
-    return _models(vocabulary, best, single)
-
-
-def _models(vocabulary: np.ndarray, best: pd.DataFrame, single: np.ndarray) -> BigramModels:
-    """Absolute discounting for the kept pairs, with the mass they leave given to the smoothed unigrams."""
-    ids = len(vocabulary) + 2
-    key = best["k"].to_numpy(dtype=np.int64)
-    prev = key >> 20
-    seen, rest, uni = np.zeros((2, len(key))), np.ones((2, ids)), np.zeros((2, ids))
-    for m, c in enumerate(("t", "n")):
-        uni[m] = (single[m] + ALPHA) / (single[m].sum() + ALPHA * ids)
-        seen[m] = np.maximum(best[c].to_numpy(dtype=float) - DISCOUNT, 0) / np.maximum(single[m][prev], 1)
-        rest[m] = np.maximum(1 - np.bincount(prev, weights=seen[m], minlength=ids), 1e-9)
-    return BigramModels(vocabulary, key, seen, rest, uni)
-
-
-def _score(model: BigramModels):
+def _score(words_in: str, pairs_in: str, totals: Totals, marks: np.ndarray) -> Callable:
+    """``marks``: (2 models, begin and unknown) of the discounted counts of the pairs after each marker."""
+
+    def load(block: int) -> tuple:
+        words = _read_words(words_in, block)
+        single = words.column(("t", "n"), totals.texts, totals.unknown)
+        kept = words.column(("rt", "rn"), marks[:, 0], marks[:, 1])
+        uni = (single + ALPHA) / ((totals.tokens + totals.texts)[:, None] + ALPHA * totals.ids)
+        single = np.maximum(single, 1)
+        rest = np.maximum(1 - kept / single, 1e-9)
+        found = _read(pairs_in, block)
+        if found is None:
+            found = pd.DataFrame({c: [] for c in ("k", "t", "n")})
+        keys = found["k"].to_numpy(dtype=np.int64)
+        order = np.argsort(keys)
+        over = [np.maximum(found[c].to_numpy(dtype=float)[order] - DISCOUNT, 0) for c in ("t", "n")]
+        return words, single, uni, rest, keys[order], over
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at_block, model = None, None
         for df in batches:
-            row = df["_row"].to_numpy()
-            for a, b, words, at in _tokens(df["_text"].tolist()):
-                ids = model.ids(words)
-                loss = model.losses(ids, _previous(ids, at))
-                n = np.diff(at)
-                ends = np.concatenate([np.zeros((2, 1)), np.cumsum(loss, axis=1)], axis=1)
-                mean = (ends[:, at[1:]] - ends[:, at[:-1]]) / np.maximum(n, 1)
-                yield pd.DataFrame({"_row": row[a:b], "n_tokens": n, "target_bits": mean[0], "background_bits": mean[1]})
+            for block, part in _parts(df):
+                if block != at_block:
+                    model = None
+                    at_block, model = block, load(block)
+                words_of, single, uni, rest, keys, over = model
+                row = part["_row"].to_numpy()
+                for a, b, words, at in _tokens(part["_text"].tolist()):
+                    places = words_of.places(words)
+                    before = words_of.before(places, at)
+                    k, hit = _look_up(keys, words_of.pairs(before, places))
+                    k, after = k[hit], before[hit]
+                    n = np.diff(at)
+                    mean = []
+                    for m in (0, 1):
+                        p = rest[m][before] * uni[m][places]
+                        p[hit] += over[m][k] / single[m][after]
+                        ends = np.concatenate([[0.0], np.cumsum(-np.log2(p))])
+                        mean.append((ends[at[1:]] - ends[at[:-1]]) / np.maximum(n, 1))
+                    yield pd.DataFrame({"_row": row[a:b], "n_tokens": n, "target_bits": mean[0], "background_bits": mean[1]})
 
     return run
 
 
-def score_documents(docs: DataFrame, models: BigramModels, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_tokens, target_bits, background_bits (mean loss per token), score = their
-    difference: the lower, the more like the target."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).cast("string").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    out = rows.mapInPandas(_score(models), "_row string, n_tokens long, target_bits double, background_bits double")
-    return out.select(F.col("_row").cast(kind).alias(id_col), "n_tokens", "target_bits", "background_bits", (F.col("target_bits") - F.col("background_bits")).alias("score"))
+def _numbered(words: DataFrame) -> DataFrame:
+    """words with dense numbers: each partition's rows follow those of the partitions before it."""
+    ends = sorted((r.part, r.n) for r in words.groupBy("part").agg((F.max("row") + 1).alias("n")).collect())
+    starts, at = [], _FIRST
+    for part, n in ends:
+        starts.append((part, at))
+        at += n
+    if at > _MOST:
+        raise OverflowError(f"{at} words do not fit word numbers of 31 bits")
+    offsets = words.sparkSession.createDataFrame(starts, "part int, start long")
+    return words.join(F.broadcast(offsets), "part").select("k", (F.col("start") + F.col("row")).alias("id"), "t", "n", "blocks")
+
+
+def _pair(row) -> np.ndarray:
+    return np.array([(row and row[0]) or 0, (row and row[1]) or 0], dtype=float)
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score all documents against the target set, the documents whose ids are in ``targets``.
+    """Score all documents against the target set, the documents whose ids are in ``targets``. One row per input row:
+    id, n_tokens, target_bits, background_bits (mean loss per token), score = their difference: the lower, the more
+    like the target.
+
+    Both models hold every word and pair that occurs LEAST times in all documents, in distributed tables. Documents
+    are dealt to blocks of bounded size. Each block counts its words, the counts are summed by word, and each block
+    gets the sums and numbers of its own words; the same is done for pairs. So a task holds the part of the models that
+    its block uses, a frequent word is one row per block, and the driver gets totals only.
 
     Null and empty texts have no tokens and all values 0. Without targets the target model is uniform over the
     vocabulary. Repeated rows are counted as often as they occur and score alike; an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
     ids = small(targets.select(F.col(id_col).alias("_target_id")).filter(F.col("_target_id").isNotNull()).distinct(), 200_000)
     marked = docs.join(ids, F.col(id_col) == F.col("_target_id"), "left")
-    return score_documents(docs, fit_models(marked, F.col("_target_id").isNotNull(), text_col), id_col, text_col)
+    rows = marked.select(
+        F.col(id_col).cast("string").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col("_target_id").isNotNull().alias("target"), F.spark_partition_id().alias("_part")
+    )
+    # written once, so that every pass sees the same blocks
+    texts = cut(rows.mapInPandas(_blocks(BLOCK_BYTES), "_row string, _text string, target boolean, block long"), "texts")
+    counted = "k long, t long, n long, block long"
+    words = texts.select("_text", "target", "block").mapInPandas(_count(None), counted).groupBy("k").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.collect_list("block").alias("blocks"))
+    known = (F.col("k") != 0) & (F.col("n") >= LEAST)
+    words = cut(words.withColumn("blocks", F.when(known, F.col("blocks"))), "words")
+    tokens = _pair(words.filter("k <> 0").agg(F.sum("t"), F.sum("n")).first())
+    at_begin = _pair(words.filter("k = 0").select("t", "n").first())
+    known = words.filter(known)
+    vocabulary = known.agg(F.sum("t"), F.sum("n"), F.count(F.lit(1))).first()
+    totals = Totals(tokens, at_begin, tokens - _pair(vocabulary), vocabulary[2] + 2)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = cut(_numbered(cut(known.select("*", F.spark_partition_id().alias("part"), row.alias("row")), "vocabulary")), "vocabulary")
+    words_in = _by_block(numbered.select("k", "id", F.explode("blocks").alias("block")), "words")
+    pairs = texts.select("_text", "target", "block").mapInPandas(_count(words_in), counted)
+    every = Window.partitionBy("k")
+    pairs = pairs.select(
+        "k", F.sum("t").over(every).alias("t"), F.sum("n").over(every).alias("n"), "block", (F.min("block").over(every) == F.col("block")).alias("first")
+    ).filter(F.col("n") >= LEAST)
+    pairs_in = _by_block(pairs, "pairs")
+    spark = docs.sparkSession
+    pairs = spark.read.schema("k long, t long, n long, first boolean").parquet(pairs_in).filter("first")
+    over = lambda c: F.sum(F.greatest(F.col(c) - F.lit(DISCOUNT), F.lit(0.0)))
+    kept = cut(pairs.groupBy(F.shiftright("k", 32).alias("id")).agg(over("t").alias("rt"), over("n").alias("rn")), "kept")
+    after = {r.id: [r.rt, r.rn] for r in kept.filter(F.col("id") < _FIRST).collect()}
+    marks = np.array([after.get(_BEGIN, [0, 0]), after.get(_UNKNOWN, [0, 0])], dtype=float).T
+    full = numbered.join(kept, "id", "left").na.fill(0.0, ["rt", "rn"])
+    full_in = _by_block(full.select("k", "id", "t", "n", "rt", "rn", F.explode("blocks").alias("block")), "words")
+    out = texts.select("_row", "_text", "block").mapInPandas(_score(full_in, pairs_in, totals, marks), "_row string, n_tokens long, target_bits double, background_bits double")
+    return out.select(F.col("_row").cast(kind).alias(id_col), "n_tokens", "target_bits", "background_bits", (F.col("target_bits") - F.col("background_bits")).alias("score"))
