@@ -78,18 +78,30 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """_id and _t of with_row_key."""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))), F.hash(F.col(text_col))
+
+
 def with_row_key(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """(_id, _t, _text[, more]): _id and _t name a row by its id and text, so that repeated ids with different texts
     stay apart and identical rows share their result. A null id is replaced by a hash of the text."""
-    text = F.col(text_col)
+    own_id, own_t = row_key(id_col, text_col)
     return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("_id"),
-        F.hash(text).alias("_t"),
-        F.coalesce(text, F.lit("")).alias("_text"),
+        own_id.alias("_id"),
+        own_t.alias("_t"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
         *[F.col(c) for c in more],
     )
 
 
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs, with all its columns, without the rows that ``gone`` names by _id and _t as with_row_key does."""
+    own_id, own_t = row_key(id_col, text_col)
+    gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_t").alias("_gone_t")).distinct()
+    return docs.join(gone, (own_id == F.col("_gone_id")) & (own_t == F.col("_gone_t")), "left_anti")
+
+
 # --- numpy hashing of byte strings -------------------------------------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, small, with_row_key
+from .common import ascii_lower, cut, small, with_row_key, without_rows
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LONGEST_SHINGLE = 3
@@ -39,6 +39,14 @@ def decontaminate(
     Null texts have no words and repeat nothing; a null item id marks words but is not listed. Documents that repeat
     id and text share their row's values; an empty benchmark gives n_hit 0 everywhere. Extra columns are ignored.
     """
+    return _marked(docs, benchmark, id_col, text_col, item_col, item_text_col, window, share).drop("_id", "_t")
+
+
+def _marked(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: float = 0.05,
+) -> DataFrame:
+    """The result of decontaminate with the key of each row, _id and _t."""
     base = with_row_key(docs, id_col, text_col)
     items = cut(
         with_row_key(benchmark, item_col, item_text_col, item_col)
@@ -116,13 +124,12 @@ def decontaminate(
             {"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))}
         )
     return out.select(
-        id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
+        "_id", "_t", id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items",
         ((F.col("n_hit") > 0) & (F.col("n_hit") >= F.col("n_words") * F.lit(share))).alias("contaminated"),
     )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input's rows that are not contaminated, with all their columns."""
-    found = decontaminate(docs, benchmark, id_col, text_col, **options).filter("contaminated")
-    gone = found.select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    found = _marked(docs, benchmark, id_col, text_col, **options).filter("contaminated")
+    return without_rows(docs, found, id_col, text_col)

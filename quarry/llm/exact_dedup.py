@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut
@@ -10,6 +10,10 @@ from .common import ascii_lower, cut
 _KEY = ["digest", "n_bytes", "check"]
 
 
+def _normal(text_col: str) -> Column:
+    return ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", runs: int = 64, fan_in: int = 8
 ) -> DataFrame:
@@ -24,7 +28,7 @@ def exact_dedup(
     all, as do rows that repeat both id and text (they cannot be told apart). An empty table gives no rows; extra
     columns are ignored.
     """
-    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    norm = _normal(text_col)
     rows = cut(
         docs.select(
             F.col(id_col).alias("_id"),
@@ -59,5 +63,7 @@ def exact_dedup(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The input's rows that stay, with all their columns."""
-    gone = exact_dedup(docs, id_col, text_col, keep).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = exact_dedup(docs, id_col, text_col, keep).filter(~F.col("kept"))
+    gone = gone.select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_gone_digest")).distinct()
+    digest = F.sha2(_normal(text_col), 256)
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (digest == F.col("_gone_digest")), "left_anti")

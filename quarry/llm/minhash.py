@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, bounded_batches, chunks, cut, mix, small, with_row_key, word_hashes
+from .common import LOWER_TABLE, bounded_batches, chunks, cut, mix, small, with_row_key, without_rows, word_hashes
 
 ROWS, BANDS, KEPT = 6, 30, 128
 #: Signature agreement below which a pair is not verified: five standard deviations under the threshold.
@@ -196,6 +196,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts have an empty set and are linked with nothing. Null ids take a hash of the text in their
     component; repeated rows share a class and so a component. An empty table gives no rows; extra columns are ignored.
     """
+    return _grouped(docs, id_col, text_col, threshold).drop("_id", "_t")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
+    """The result of near_dedup with the key of each row, _id and _t."""
     bounded_batches(docs.sparkSession)
     base = with_row_key(docs, id_col, text_col)
     signed = cut(base.mapInPandas(_sign, "_id long, _t int, n long, f1 long, f2 long, bands array<long>, sig binary"), "signed")
@@ -242,11 +247,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_row = signed.select("_id", "_t", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     by_row = by_row.select("_id", "_t", "n", F.coalesce("comp", "_id").alias("component_id")).dropDuplicates(["_id", "_t"])
     return with_row_key(docs, id_col, text_col, id_col).select(F.col(id_col), "_id", "_t").join(by_row, ["_id", "_t"]).select(
-        F.col(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", (F.col("_id") == F.col("component_id")).alias("kept")
+        "_id", "_t", F.col(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", (F.col("_id") == F.col("component_id")).alias("kept")
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
     """The input's rows that stay: the one of the smallest id of each component."""
-    gone = near_dedup(docs, id_col, text_col, threshold).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = _grouped(docs, id_col, text_col, threshold).filter(~F.col("kept"))
+    return without_rows(docs, gone, id_col, text_col)
