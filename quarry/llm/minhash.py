@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,8 @@ from .common import LOWER_TABLE, bounded_batches, chunks, cut, mix, small, with_
 ROWS, BANDS, KEPT = 6, 30, 128
 #: Signature agreement below which a pair is not verified: five standard deviations under the threshold.
 MARGIN = 0.17
-TILE = 1024
+#: Documents and bytes of shingles in a tile of a loose bucket.
+TILE, TILE_BYTES = 1024, 32 << 20
 
 _rng = np.random.default_rng(7)
 _MULT = _rng.integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,9 +77,9 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 {
                     "_id": df["_id"].to_numpy()[a:b],
                     "_t": df["_t"].to_numpy()[a:b],
+                    "nil": df["nil"].to_numpy()[a:b],
                     "n": [len(s) for s in sets],
-                    "f1": _i64(np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64)),
-                    "f2": _i64(np.array([mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)),
+                    "d": [hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() for s in sets],
                     "bands": [list(x) if len(s) else [] for x, s in zip(bands, sets, strict=True)],
                     "sig": [x.tobytes() for x in kept],
                 }
@@ -154,7 +156,7 @@ def _tile(threshold: int):
     return run
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of the edges (a, b): alternating large-star and small-star until nothing changes.
     Minima are aggregated and joined back, so no neighbourhood is gathered in one task."""
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -170,14 +172,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     was = state(e)
-    for _ in range(most_rounds):
+    while True:  # each round lowers labels until none changes
         e = cut(star(star(e, True), False), "edges")
         now = state(e)
         if now == was:
             break
         was = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
@@ -188,31 +188,30 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole sequence if it has fewer words). Two documents are linked if 100 * intersection >= threshold * union on the
     full sets; component_id is the smallest id reachable.
 
-    Equal sets are one class, found by aggregation, before anything is compared. Class representatives meet in the
-    buckets of 30 bands of 6 minima (a pair at 0.85 is missed once in a million). In each bucket all compare with
-    its smallest member; what that leaves unconnected is compared in tiles of bounded size. Components come from
-    alternating large-star and small-star rounds.
+    Documents whose full sorted sets have the same 128-bit BLAKE2 digest are one class before anything is compared; a
+    class, not an id, is a node, so different texts under one id stay apart. Class representatives meet in the buckets
+    of 30 bands of 6 minima (a pair at 0.85 is missed once in a million). In each bucket all compare with one member;
+    what that leaves unconnected is compared in tiles of bounded rows and bytes. Components come from alternating
+    large-star and small-star rounds.
 
-    Null and empty texts have an empty set and are linked with nothing. Null ids take a hash of the text in their
-    component; repeated rows share a class and so a component. An empty table gives no rows; extra columns are ignored.
+    Null and empty texts have an empty set and are linked with nothing. A null id counts as larger
+    than all others; a component without ids is named by a hash of a text. Repeated rows share a class and so a component. An empty table gives no rows; extra columns are ignored,
+    whatever their names.
     """
-    return _grouped(docs, id_col, text_col, threshold).drop("_id", "_t")
+    return _grouped(docs, id_col, text_col, threshold).drop("_id", "_t", "stays")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
     """The result of near_dedup with the key of each row, _id and _t."""
     bounded_batches(docs.sparkSession)
-    base = with_row_key(docs, id_col, text_col)
-    signed = cut(base.mapInPandas(_sign, "_id long, _t int, n long, f1 long, f2 long, bands array<long>, sig binary"), "signed")
-    full = signed.filter("n > 0")
-    classes = full.groupBy("f1", "f2", "n").agg(F.min("_id").alias("node"))
-    reps = cut(
-        full.join(classes.withColumnRenamed("node", "_id"), ["f1", "f2", "n", "_id"]).dropDuplicates(["_id"])
-        .select(F.col("_id").alias("node"), "_t", "n", "bands", "sig"),
-        "reps",
-    )
+    base = with_row_key(docs, id_col, text_col, id_col).withColumn("nil", F.col(id_col).isNull()).select("_id", "_t", "_text", "nil")
+    signed = cut(base.mapInPandas(_sign, "_id long, _t int, nil boolean, n long, d binary, bands array<long>, sig binary"), "signed")
+    first_row = F.min(F.struct("nil", "_id", "_t", "bands", "sig")).alias("r")
+    classes = signed.filter("n > 0").groupBy("d", "n").agg(first_row)
+    # numbered as they are written: the table, not a plan, holds the numbers
+    reps = cut(classes.select(F.monotonically_increasing_id().alias("node"), "d", "n", "r.*"), "reps")
     slots = reps.select("node", "n", F.posexplode("bands").alias("band", "bh"))
-    centres = slots.groupBy("band", "bh").agg(F.min(F.struct("node", "n")).alias("c"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).filter("size > 1")
+    centres = slots.groupBy("band", "bh").agg(F.min(F.struct("node", "n")).alias("c"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("mass"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).filter("size > 1")
     met = cut(slots.join(centres, ["band", "bh"]), "buckets")
     stars = met.filter(
         (F.col("node") != F.col("c.node"))
@@ -222,9 +221,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> Dat
     pairs = stars.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").mapInPandas(_near(threshold), "a long, b long")
     pairs = cut(pairs, "pairs")
     # full sets of the documents that meet others
-    needed = small(met.select(F.col("node").alias("_id")).distinct().join(reps.select(F.col("node").alias("_id"), "_t"), "_id"))
-    needed = base.join(needed, ["_id", "_t"])
-    sets = cut(needed.select(F.col("_id").alias("node"), "_text").mapInPandas(_sets, "node long, shingles binary"), "sets").dropDuplicates(["node"])
+    needed = small(met.select("node").distinct().join(reps.select("node", "_id", "_t"), "node"))
+    needed = base.join(needed, ["_id", "_t"]).select("node", "_text")
+    sets = cut(needed.mapInPandas(_sets, "node long, shingles binary"), "sets").dropDuplicates(["node"])
     links = cut(
         pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").mapInPandas(_linked(threshold), "a long, b long"), "links"
     )
@@ -234,7 +233,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> Dat
     open_ = whole.groupBy("band", "bh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band", "bh")
     rest = whole.join(open_, ["band", "bh"])
     once = rest.groupBy("who", "size").agg(F.min(F.struct("band", "bh")).alias("b")).select(F.col("b.band").alias("band"), F.col("b.bh").alias("bh"))
-    rest = rest.join(once, ["band", "bh"]).withColumn("parts", F.ceil(F.col("size") / F.lit(TILE // 2)).cast("int"))
+    rest = rest.join(once, ["band", "bh"]).withColumn(
+        "parts", F.ceil(F.greatest(F.col("size") / F.lit(TILE // 2), F.col("mass") * 8 / F.lit(TILE_BYTES // 2))).cast("int")
+    )
     own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")
     rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = rest.select("band", "bh", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "n", "comp")
@@ -242,16 +243,22 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> Dat
     tiles = tiles.join(two, ["band", "bh", "p", "q"]).join(sig, "node").join(sets, "node")
     more = cut(tiles.groupBy("band", "bh", "p", "q").applyInPandas(_tile(threshold), "a long, b long"), "links")
     final = components(links.unionByName(more)) if more.limit(1).count() else first
-    named = classes.join(final, "node", "left").select("f1", "f2", "n", F.coalesce("comp", "node").alias("comp"))
-    named = cut(named, "named")
-    by_row = signed.select("_id", "_t", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
-    by_row = by_row.select("_id", "_t", "n", F.coalesce("comp", "_id").alias("component_id")).dropDuplicates(["_id", "_t"])
-    return with_row_key(docs, id_col, text_col, id_col).select(F.col(id_col), "_id", "_t").join(by_row, ["_id", "_t"]).select(
-        "_id", "_t", F.col(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id", (F.col("_id") == F.col("component_id")).alias("kept")
+    # the smallest row of each component stands for it
+    heads = final.join(reps.select("node", "nil", "_id", "_t"), "node").groupBy("comp").agg(F.min(F.struct("nil", "_id", "_t")).alias("head"))
+    headed = final.join(heads, "comp").select("node", "head")
+    named = cut(reps.join(headed, "node", "left").select("d", F.coalesce("head", F.struct("nil", "_id", "_t")).alias("head")), "named")
+    by_row = signed.select("nil", "_id", "_t", "n", "d").dropDuplicates(["_id", "_t"]).join(named, "d", "left")
+    own = F.struct("_id", "_t")
+    by_row = by_row.select("_id", "_t", F.col("n").alias("n_shingles"), F.when(F.col("head").isNull(), own).otherwise(F.struct("head._id", "head._t")).alias("head"))
+    rows = with_row_key(docs, id_col, text_col, id_col).select(F.col(id_col), "_id", "_t").join(by_row, ["_id", "_t"])
+    return rows.select(
+        "_id", "_t", F.col(id_col), "n_shingles", F.col("head._id").alias("component_id"),
+        (F.col("_id") == F.col("head._id")).alias("kept"), (own == F.col("head")).alias("stays"),
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 85) -> DataFrame:
-    """The input's rows that stay: the one of the smallest id of each component."""
-    gone = _grouped(docs, id_col, text_col, threshold).filter(~F.col("kept"))
+    """The input's rows that stay, with all their columns: of each component the one of the smallest id (of several
+    texts under that id, one; rows that repeat both id and text stay together)."""
+    gone = _grouped(docs, id_col, text_col, threshold).filter(~F.col("stays"))
     return without_rows(docs, gone, id_col, text_col)
