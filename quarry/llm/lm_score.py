@@ -1,76 +1,226 @@
-"""Cross-entropy difference scoring with matched target and background bigram models."""
+"""Cross-entropy difference scoring with matched target and background bigram models over the whole corpus."""
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, bounded_batches, chunks, cut, new_path, small, word_hashes
+from .common import LOWER_TABLE, bounded_batches, chunks, cut, mix, new_path, small, word_hashes
 from .warc import _open
 
-#: Words and pairs that occur this often are in the models; no share or count of the corpus bounds how many there are.
-LEAST = 2
-DISCOUNT, ALPHA = 0.6, 0.5
+#: Weight of the bigram estimate, and what every word of the vocabulary gets in the unigram estimate.
+LAMBDA, ALPHA = 0.5, 0.5
+#: Bytes of text in a block (documents that are counted and scored together), and of all texts in a slice of the keys.
+BLOCK_BYTES = SLICE_BYTES = 16 << 20
 _CHUNK = 1 << 20
-#: Bytes of text in a block: documents in a row that look up their words and pairs together.
-BLOCK_BYTES = 16 << 20
-#: Rows that a task hands over at once.
-_ROWS = 200_000
-#: Word numbers have 31 bits, so that a pair (previous << 32 | word) has 63.
-_BEGIN, _UNKNOWN, _FIRST, _MOST = 0, 1, 2, 1 << 31
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Stands before the first word of a text, and after the last.
+_EDGE = np.uint64(0x5851F42D4C957F2D)
+_PREVIOUS, _WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+_WORDS, _PAIRS, _TOTALS = 0, 1, -1
+_SENT = "kind int, slice long, block long, counts binary"
+_MERGED = _SENT + ", t long, n long, kinds long"
+
+
+# --- counts as bytes -----------------------------------------------------------------------------------------------
+
+
+def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted different keys with their counts, (2, keys) for target and all: byte planes of the steps, compressed."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    kind = np.min_scalar_type(int(counts.max()) if counts.size else 0).newbyteorder("<")
+    body = steps.view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype(kind).tobytes()
+    return len(keys).to_bytes(6, "little") + bytes([kind.itemsize, 0]) + pa.Codec("zstd", 1).compress(body, asbytes=True)
+
+
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, width = int.from_bytes(blob[:6], "little"), blob[6]
+    body = pa.Codec("zstd").decompress(blob[8:], n * (8 + 2 * width), asbytes=True)
+    steps = np.frombuffer(body, dtype=np.uint8, count=8 * n).reshape(8, n).T.copy().view("<u8").ravel()
+    counts = np.frombuffer(body, dtype=f"<u{width}", offset=8 * n).reshape(2, n).astype(np.int64)
+    return np.cumsum(steps, dtype=np.uint64), counts
+
+
+# --- one block of documents ----------------------------------------------------------------------------------------
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """A long text, cut at white space."""
+    at = 0
+    while len(raw) - at > _CHUNK:
+        found = _SPACE.search(raw, at + _CHUNK)
+        end = found.start() if found else len(raw)
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
+class Block:
+    """The words of some texts in a row, and the words and pairs that differ among them, counted."""
+
+    def __init__(self, texts: list[str], target: np.ndarray):
+        raw = [t.encode().translate(LOWER_TABLE) for t in texts]
+        words, self.size = [np.zeros(0, dtype=np.uint64)], np.zeros(len(raw), dtype=np.int64)
+        for a, b in chunks([len(t) for t in raw], _CHUNK):
+            for part in _pieces(raw[a]) if b - a == 1 else ():
+                found, at = word_hashes([part])
+                words.append(found)
+                self.size[a] += len(found)
+            if b - a > 1:
+                found, at = word_hashes(raw[a:b])
+                words.append(found)
+                self.size[a:b] = np.diff(at)
+        flat = np.concatenate(words)
+        self.target = np.asarray(target, dtype=bool)
+        self.end = np.cumsum(self.size)
+        full = self.size > 0
+        self.doc = np.repeat(np.arange(len(raw), dtype=np.int32), self.size)
+        first = (self.end - self.size)[full]
+        before = np.empty_like(flat)
+        before[1:] = flat[:-1]
+        before[first] = _EDGE
+        flags = self.target[self.doc]
+        edges = np.full(int(full.sum()), _EDGE)
+        # an edge closes each text: what follows a word adds up to how often it occurs
+        pairs = mix(np.concatenate([before * _PREVIOUS + flat * _WORD, flat[self.end[full] - 1] * _PREVIOUS + edges * _WORD]))
+        marks = np.concatenate([flags, self.target[full]])
+        self.words, at, self.word_counts = _counted(np.concatenate([flat, edges]), marks)
+        self.word = at[: len(flat)]
+        self.pairs, at, self.pair_counts = _counted(pairs, marks)
+        self.pair = at[: len(flat)]
+        self.before = np.empty_like(self.word)
+        self.before[1:] = self.word[:-1]
+        self.before[first] = np.searchsorted(self.words, _EDGE)
+
+    def keyed(self) -> tuple[tuple[int, np.ndarray, np.ndarray], ...]:
+        return (_WORDS, self.words, self.word_counts), (_PAIRS, self.pairs, self.pair_counts)
+
+    def own(self, at: np.ndarray, kinds: int) -> np.ndarray:
+        """For each word, how often its document has what is at its place."""
+        _, back, n = np.unique(self.doc.astype(np.int64) * kinds + at, return_inverse=True, return_counts=True)
+        return n[back]
+
+    def losses(self, totals: np.ndarray, kinds: int) -> list[np.ndarray]:
+        """Mean bits per word of each text under both models, each without the text's own counts. totals: all words and
+        edges of target and background; kinds: words that differ, with the edge."""
+        own_word, own_pair = self.own(self.word, len(self.words)), self.own(self.pair, len(self.pairs))
+        own_before = np.empty_like(own_word)
+        own_before[1:] = own_word[:-1]
+        own_before[(self.end - self.size)[self.size > 0]] = 1
+        out = []
+        for m in (0, 1):
+            mine = self.target if m == 0 else np.ones(len(self.target), dtype=bool)
+            here = mine[self.doc]
+            word = self.word_counts[m][self.word] - own_word * here
+            before = self.word_counts[m][self.before] - own_before * here
+            pair = self.pair_counts[m][self.pair] - own_pair * here
+            every = (totals[m] - (self.size + 1) * mine)[self.doc]
+            single = (word + ALPHA) / (every + ALPHA * kinds)
+            p = np.where(before > 0, LAMBDA * pair / np.maximum(before, 1) + (1 - LAMBDA) * single, single)
+            ends = np.concatenate([[0.0], np.cumsum(-np.log2(p))])
+            out.append((ends[self.end] - ends[self.end - self.size]) / np.maximum(self.size, 1))
+        return out
+
+
+def _counted(keys: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in order, the place of each key, and (2, different) counts of target and all."""
+    kinds, at = np.unique(keys, return_inverse=True)
+    n = np.bincount(at, minlength=len(kinds))
+    t = np.bincount(at[target], minlength=len(kinds))
+    return kinds, at.astype(np.int32), np.stack([t, n])
+
+
+# --- stages --------------------------------------------------------------------------------------------------------
+
+
+def _blocks(size: int) -> Callable:
+    """Number the blocks of a task: its documents in order, ``size`` bytes of text each (a longer one stands alone)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = 0, 0
+        for batch in batches:
+            sizes = pc.binary_length(batch.column("_text")).to_pylist()
+            own = np.empty(len(sizes), dtype=np.int64)
+            for i, n in enumerate(sizes):
+                if held and held + n > size:
+                    block, held = block + 1, 0
+                held += n
+                own[i] = block
+            part = batch.column("_part").to_numpy().astype(np.int64)
+            columns = [batch.column(c) for c in ("_row", "_text", "target")] + [pa.array(part << 32 | own), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["_row", "_text", "target", "block", "n_bytes"])
 
-@dataclass
-class Totals:
-    """Of target and background: tokens, texts with words, tokens of words outside the vocabulary; ``ids``: words and
-    the two markers."""
+    return run
 
-    tokens: np.ndarray
-    texts: np.ndarray
-    unknown: np.ndarray
-    ids: int
 
+def _whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+    """The rows of each block; they come one after another."""
+    held, at_block = [], None
+    for df in batches:
+        block = df["block"].to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(df)]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                if held and block[a] != at_block:
+                    yield at_block, pd.concat(held, ignore_index=True)
+                    held = []
+                at_block = int(block[a])
+                held.append(df.iloc[a:b])
+    if held:
+        yield at_block, pd.concat(held, ignore_index=True)
 
-def _look_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where ``wanted`` would be in the sorted ``keys``, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
-    k = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return k, keys[k] == wanted
 
+def _edges(slices: int) -> np.ndarray:
+    return np.array([(i << 64) // slices for i in range(1, slices)], dtype=np.uint64)
 
-class _Words:
-    """What the models hold on the words of one block: place k is the k-th word, then come the begin marker and the
-    unknown word."""
 
-    def __init__(self, table: pd.DataFrame):
-        self.keys = table["k"].to_numpy(dtype=np.int64).view(np.uint64)
-        order = np.argsort(self.keys)
-        self.keys, self.table = self.keys[order], table.iloc[order]
-        self.begin, self.unknown = len(order), len(order) + 1
-        self.ids = np.concatenate([self.table["id"].to_numpy(dtype=np.int64), [_BEGIN, _UNKNOWN]])
+def _count(slices: int) -> Callable:
+    """The counts of each block, cut into slices of the keys."""
 
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        k, known = _look_up(self.keys, hashes)
-        return np.where(known, k, self.unknown)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for at_block, df in _whole_blocks(batches):
+            for kind, keys, counts in Block(df["_text"].tolist(), df["target"].to_numpy()).keyed():
+                at = np.concatenate([[0], np.searchsorted(keys, _edges(slices)), [len(keys)]])
+                rows = [(kind, s, at_block, pack(keys[a:b], counts[:, a:b])) for s, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["kind", "slice", "block", "counts"])
 
-    def before(self, places: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return _previous(places, at, self.begin)
+    return run
 
-    def pairs(self, before: np.ndarray, places: np.ndarray) -> np.ndarray:
-        return self.ids[before] << 32 | self.ids[places]
 
-    def column(self, names: tuple[str, str], begin, unknown) -> np.ndarray:
-        """(2, places) of two columns, with the values of the markers."""
-        own = self.table[list(names)].to_numpy(dtype=float).T
-        return np.concatenate([own, np.array([begin, unknown], dtype=float).T], axis=1)
+def _merge(df: pd.DataFrame) -> pd.DataFrame:
+    """One slice: each block gets the sums of those of its keys that other blocks have too (of the others it has all).
+    Words also give a row of totals: all words of target and background, and how many differ."""
+    found = [unpack(x) for x in df["counts"]]
+    kind, at_slice = int(df["kind"].iloc[0]), int(df["slice"].iloc[0])
+    blocks = np.repeat(np.arange(len(df)), [len(k) for k, _ in found])
+    keys, counts = np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found], axis=1)
+    order = np.argsort(keys, kind="stable")
+    keys, blocks, counts = keys[order], blocks[order], counts[:, order]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sums = np.add.reduceat(counts, heads, axis=1)
+    times = np.diff(np.append(heads, len(keys)))
+    shared = np.repeat(times > 1, times)
+    which = np.repeat(np.arange(len(heads)), times)[shared]
+    keys, blocks = keys[shared], blocks[shared]
+    order = np.argsort(blocks, kind="stable")  # within a block, keys stay in order
+    keys, which, blocks = keys[order], which[order], blocks[order]
+    at = np.searchsorted(blocks, np.arange(len(df) + 1))
+    names = df["block"].to_numpy()
+    rows = [(kind, at_slice, int(names[i]), pack(keys[a:b], sums[:, which[a:b]]), 0, 0, 0) for i, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+    if kind == _WORDS:
+        rows.append((kind, at_slice, _TOTALS, b"", *sums.sum(axis=1).tolist(), len(heads)))
+    return pd.DataFrame(rows, columns=["kind", "slice", "block", "counts", "t", "n", "kinds"])
 
 
 def _read(folder: str, block: int) -> pd.DataFrame | None:
@@ -81,225 +231,55 @@ def _read(folder: str, block: int) -> pd.DataFrame | None:
     return pq.read_table(base, filesystem=store, partitioning=None, use_threads=False).to_pandas()
 
 
-def _read_words(folder: str, block: int) -> _Words:
-    found = _read(folder, block)
-    return _Words(pd.DataFrame({c: [] for c in ("k", "id", "t", "n", "rt", "rn")}) if found is None else found)
-
-
-def _by_block(df: DataFrame, name: str) -> str:
-    """Write rows to a folder per block of the shared folder."""
-    path = new_path(df.sparkSession, name)
-    df.repartition("block").write.option("compression", "zstd").partitionBy("block").parquet(path)
-    return path
-
-
-def _tokens(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    raw = [t.encode().translate(LOWER_TABLE) for t in texts]
-    for a, b in chunks([len(t) for t in raw], _CHUNK):
-        words, at = word_hashes(raw[a:b])
-        yield a, b, words, at
-
-
-def _previous(ids: np.ndarray, at: np.ndarray, begin: int = 0) -> np.ndarray:
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    starts = at[:-1][at[:-1] < at[1:]]
-    before[starts] = begin
-    return before
-
-
-class _Counts:
-    """Counts by key in two columns, added up in sorted arrays."""
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held = 0
-
-    def add(self, keys: np.ndarray, target: np.ndarray) -> None:
-        k, inv = np.unique(keys, return_inverse=True)
-        n = np.bincount(inv, minlength=len(k))
-        t = np.bincount(inv, weights=target, minlength=len(k)).astype(np.int64)
-        self.parts.append((k, np.stack([t, n])))
-        self.held += len(k)
-
-    def take(self) -> pd.DataFrame:
-        keys = np.concatenate([p[0] for p in self.parts]) if self.parts else np.zeros(0, dtype=np.int64)
-        values = np.concatenate([p[1] for p in self.parts], axis=1) if self.parts else np.zeros((2, 0), dtype=np.int64)
-        self.parts, self.held = [], 0
-        k, inv = np.unique(keys, return_inverse=True)
-        sums = [np.bincount(inv, weights=v, minlength=len(k)).astype(np.int64) for v in values]
-        return pd.DataFrame({"k": k.astype(np.uint64).view(np.int64), "t": sums[0], "n": sums[1]})
-
-
-def _blocks(size: int):
-    """Number the blocks of a task: its documents in order, ``size`` bytes of text each (a longer one stands alone)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, held = 0, 0
-        for df in batches:
-            own = np.empty(len(df), dtype=np.int64)
-            for i, t in enumerate(df["_text"]):
-                n = len(t.encode())
-                if held and held + n > size:
-                    block, held = block + 1, 0
-                held += n
-                own[i] = block
-            df["block"] = df["_part"].to_numpy(dtype=np.int64) << 32 | own
-            yield df.drop(columns="_part")
-
-    return run
-
-
-def _parts(df: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
-    """The runs of rows of one block."""
-    block = df["block"].to_numpy()
-    edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(df)]
-    for a, b in zip(edges, edges[1:]):
-        if b > a:
-            yield int(block[a]), df.iloc[a:b]
-
-
-def _count(words_in: str | None):
-    """Counts by block, of words (and of the key 0: the texts that have words) or, with the words of the blocks, of pairs."""
-
+def _score(folder: str, totals: np.ndarray, kinds: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, at_block, words_of = _Counts(), None, None
-
-        def out() -> Iterator[pd.DataFrame]:
-            found = counts.take()
-            for i in range(0, len(found), _ROWS):
-                yield found.iloc[i : i + _ROWS].assign(block=at_block)
-
-        for df in batches:
-            for block, part in _parts(df):
-                if block != at_block:
-                    yield from out()
-                    at_block, words_of = block, None if words_in is None else _read_words(words_in, block)
-                target = part["target"].to_numpy(dtype=bool)
-                for a, b, words, at in _tokens(part["_text"].tolist()):
-                    n = np.diff(at)
-                    flags, full = np.repeat(target[a:b], n), n > 0
-                    marked = target[a:b][full]
-                    if words_of is None:
-                        keys = np.concatenate([words, np.zeros(len(marked), dtype=np.uint64)])
-                    else:  # each text is closed by the marker too, so that what follows a word adds up to its count
-                        places = words_of.places(words)
-                        last = places[at[1:][full] - 1]
-                        keys = np.concatenate([words_of.pairs(words_of.before(places, at), places), words_of.ids[last] << 32 | _BEGIN])
-                    counts.add(keys, np.concatenate([flags, marked]))
-        yield from out()
+        for at_block, df in _whole_blocks(batches):
+            block = Block(df["_text"].tolist(), df["target"].to_numpy())
+            found = _read(folder, at_block)
+            for kind, blob in () if found is None else zip(found["kind"], found["counts"], strict=True):
+                keys, counts = unpack(blob)
+                own, into = (block.words, block.word_counts) if kind == _WORDS else (block.pairs, block.pair_counts)
+                into[:, np.searchsorted(own, keys)] = counts
+            t, n = block.losses(totals, kinds)
+            yield pd.DataFrame({"_row": df["_row"].to_numpy(), "n_tokens": block.size, "target_bits": t, "background_bits": n})
 
     return run
 
 
-def _score(words_in: str, pairs_in: str, totals: Totals, marks: np.ndarray) -> Callable:
-    """``marks``: (2 models, begin and unknown) of the discounted counts of the pairs after each marker."""
-
-    def load(block: int) -> tuple:
-        words = _read_words(words_in, block)
-        single = words.column(("t", "n"), totals.texts, totals.unknown)
-        kept = words.column(("rt", "rn"), marks[:, 0], marks[:, 1])
-        uni = (single + ALPHA) / ((totals.tokens + totals.texts)[:, None] + ALPHA * totals.ids)
-        single = np.maximum(single, 1)
-        rest = np.maximum(1 - kept / single, 1e-9)
-        found = _read(pairs_in, block)
-        if found is None:
-            found = pd.DataFrame({c: [] for c in ("k", "t", "n")})
-        keys = found["k"].to_numpy(dtype=np.int64)
-        order = np.argsort(keys)
-        over = [np.maximum(found[c].to_numpy(dtype=float)[order] - DISCOUNT, 0) for c in ("t", "n")]
-        return words, single, uni, rest, keys[order], over
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at_block, model = None, None
-        for df in batches:
-            for block, part in _parts(df):
-                if block != at_block:
-                    model = None
-                    at_block, model = block, load(block)
-                words_of, single, uni, rest, keys, over = model
-                row = part["_row"].to_numpy()
-                for a, b, words, at in _tokens(part["_text"].tolist()):
-                    places = words_of.places(words)
-                    before = words_of.before(places, at)
-                    k, hit = _look_up(keys, words_of.pairs(before, places))
-                    k, after = k[hit], before[hit]
-                    n = np.diff(at)
-                    mean = []
-                    for m in (0, 1):
-                        p = rest[m][before] * uni[m][places]
-                        p[hit] += over[m][k] / single[m][after]
-                        ends = np.concatenate([[0.0], np.cumsum(-np.log2(p))])
-                        mean.append((ends[at[1:]] - ends[at[:-1]]) / np.maximum(n, 1))
-                    yield pd.DataFrame({"_row": row[a:b], "n_tokens": n, "target_bits": mean[0], "background_bits": mean[1]})
-
-    return run
-
-
-def _numbered(words: DataFrame) -> DataFrame:
-    """words with dense numbers: each partition's rows follow those of the partitions before it."""
-    ends = sorted((r.part, r.n) for r in words.groupBy("part").agg((F.max("row") + 1).alias("n")).collect())
-    starts, at = [], _FIRST
-    for part, n in ends:
-        starts.append((part, at))
-        at += n
-    if at > _MOST:
-        raise OverflowError(f"{at} words do not fit word numbers of 31 bits")
-    offsets = words.sparkSession.createDataFrame(starts, "part int, start long")
-    return words.join(F.broadcast(offsets), "part").select("k", (F.col("start") + F.col("row")).alias("id"), "t", "n", "blocks")
-
-
-def _pair(row) -> np.ndarray:
-    return np.array([(row and row[0]) or 0, (row and row[1]) or 0], dtype=float)
-
-
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score all documents against the target set, the documents whose ids are in ``targets``. One row per input row:
     id, n_tokens, target_bits, background_bits (mean loss per token), score = their difference: the lower, the more
     like the target.
 
-    Both models hold every word and pair that occurs LEAST times in all documents, in distributed tables. Documents
-    are dealt to blocks of bounded size. Each block counts its words, the counts are summed by word, and each block
-    gets the sums and numbers of its own words; the same is done for pairs. So a task holds the part of the models that
-    its block uses, a frequent word is one row per block, and the driver gets totals only.
+    Both models are bigrams interpolated with unigrams over one vocabulary: every word of the corpus. They count every
+    word and pair of all documents, those that occur once too. A text is scored without its own counts, so a text that
+    occurs again is known to the models, and one that does not is not known from itself.
+
+    Documents are dealt to blocks of bounded size, which count their words and pairs. Counts travel as compressed
+    slices of the sorted keys; each slice is summed over the blocks in a task, and every block gets back the sums of
+    those of its keys that another block has too. So a task holds the part of the models that its block uses, a
+    frequent word or pair is one entry per block, and the driver gets one row of totals.
 
     Null and empty texts have no tokens and all values 0. Without targets the target model is uniform over the
-    vocabulary. Repeated rows are counted as often as they occur and score alike; an empty table gives no rows.
+    vocabulary. A null id is in no target. Repeated rows are counted as often as they occur and score alike; an empty
+    table gives no rows; extra columns are ignored, whatever their names; long texts are read whole.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     ids = small(targets.select(F.col(id_col).alias("_target_id")).filter(F.col("_target_id").isNotNull()).distinct(), 200_000)
     marked = docs.join(ids, F.col(id_col) == F.col("_target_id"), "left")
     rows = marked.select(
         F.col(id_col).cast("string").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col("_target_id").isNotNull().alias("target"), F.spark_partition_id().alias("_part")
     )
-    # written once, so that every pass sees the same blocks
-    texts = cut(rows.mapInPandas(_blocks(BLOCK_BYTES), "_row string, _text string, target boolean, block long"), "texts")
-    counted = "k long, t long, n long, block long"
-    words = texts.select("_text", "target", "block").mapInPandas(_count(None), counted).groupBy("k").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.collect_list("block").alias("blocks"))
-    known = (F.col("k") != 0) & (F.col("n") >= LEAST)
-    words = cut(words.withColumn("blocks", F.when(known, F.col("blocks"))), "words")
-    tokens = _pair(words.filter("k <> 0").agg(F.sum("t"), F.sum("n")).first())
-    at_begin = _pair(words.filter("k = 0").select("t", "n").first())
-    known = words.filter(known)
-    vocabulary = known.agg(F.sum("t"), F.sum("n"), F.count(F.lit(1))).first()
-    totals = Totals(tokens, at_begin, tokens - _pair(vocabulary), vocabulary[2] + 2)
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = cut(_numbered(cut(known.select("*", F.spark_partition_id().alias("part"), row.alias("row")), "vocabulary")), "vocabulary")
-    words_in = _by_block(numbered.select("k", "id", F.explode("blocks").alias("block")), "words")
-    pairs = texts.select("_text", "target", "block").mapInPandas(_count(words_in), counted)
-    every = Window.partitionBy("k")
-    pairs = pairs.select(
-        "k", F.sum("t").over(every).alias("t"), F.sum("n").over(every).alias("n"), "block", (F.min("block").over(every) == F.col("block")).alias("first")
-    ).filter(F.col("n") >= LEAST)
-    pairs_in = _by_block(pairs, "pairs")
-    spark = docs.sparkSession
-    pairs = spark.read.schema("k long, t long, n long, first boolean").parquet(pairs_in).filter("first")
-    over = lambda c: F.sum(F.greatest(F.col(c) - F.lit(DISCOUNT), F.lit(0.0)))
-    kept = cut(pairs.groupBy(F.shiftright("k", 32).alias("id")).agg(over("t").alias("rt"), over("n").alias("rn")), "kept")
-    after = {r.id: [r.rt, r.rn] for r in kept.filter(F.col("id") < _FIRST).collect()}
-    marks = np.array([after.get(_BEGIN, [0, 0]), after.get(_UNKNOWN, [0, 0])], dtype=float).T
-    full = numbered.join(kept, "id", "left").na.fill(0.0, ["rt", "rn"])
-    full_in = _by_block(full.select("k", "id", "t", "n", "rt", "rn", F.explode("blocks").alias("block")), "words")
-    out = texts.select("_row", "_text", "block").mapInPandas(_score(full_in, pairs_in, totals, marks), "_row string, n_tokens long, target_bits double, background_bits double")
+    # written once, so that both passes see the same blocks
+    texts = cut(rows.mapInArrow(_blocks(BLOCK_BYTES), "_row string, _text string, target boolean, block long, n_bytes long"), "texts")
+    slices = max(1, math.ceil((texts.agg(F.sum("n_bytes")).first()[0] or 0) / SLICE_BYTES))
+    sent = texts.select("_text", "target", "block").mapInPandas(_count(slices), _SENT)
+    folder = new_path(spark, "counts")
+    merged = sent.groupBy("kind", "slice").applyInPandas(_merge, _MERGED).repartition("block")
+    merged.write.option("compression", "none").partitionBy("block").parquet(folder)
+    sums = spark.read.schema(_MERGED).parquet(folder).filter(F.col("block") == _TOTALS).agg(F.sum("t"), F.sum("n"), F.sum("kinds")).first()
+    totals, kinds = np.array([sums[0] or 0, sums[1] or 0], dtype=np.int64), sums[2] or 0
+    out = texts.select("_row", "_text", "target", "block").mapInPandas(_score(folder, totals, kinds), "_row string, n_tokens long, target_bits double, background_bits double")
     return out.select(F.col("_row").cast(kind).alias(id_col), "n_tokens", "target_bits", "background_bits", (F.col("target_bits") - F.col("background_bits")).alias("score"))
