@@ -66,7 +66,7 @@ def delete_files(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, Data
     gone = ids.select("file_id").distinct()
     symbols = tables["symbols"].join(gone, "file_id", "left_semi").select(F.col("id").alias("symbol_id"))
     out["files"] = delete_where(tables["files"], gone, {"id": "file_id"})
-    for name in ("symbols", "documents"):
+    for name in ("symbols", "documents", *(["imports"] if "imports" in tables else [])):
         out[name] = delete_where(tables[name], gone, {"file_id": "file_id"})
     deps = delete_where(tables["dependencies"], gone, {"from_file": "file_id"})
     out["dependencies"] = delete_where(deps, gone, {"to_file": "file_id"})

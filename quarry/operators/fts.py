@@ -54,10 +54,12 @@ def load_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
 
 
-def refresh_index(postings: DataFrame, lengths: DataFrame, changed: DataFrame, removed: DataFrame, columns: tuple[str, ...], id_col: str = "id"):
+def refresh_index(
+    postings: DataFrame, lengths: DataFrame, changed: DataFrame, removed: DataFrame, columns: tuple[str, ...], id_col: str = "id", diacritics: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """The index after rows changed (new contents) and ids were removed: their postings are replaced."""
     gone = changed.select(F.col(id_col).alias("id")).unionByName(removed.select(F.col(id_col).alias("id"))).distinct()
-    p, n = build_index(changed, columns, id_col)
+    p, n = build_index(changed, columns, id_col, diacritics)
     return postings.join(gone, "id", "left_anti").unionByName(p), lengths.join(gone, "id", "left_anti").unionByName(n)
 
 

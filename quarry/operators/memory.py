@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..schema import ANTI_PATTERN_EVENTS, CHANGE_EVENTS
+from .dml import last_per_key
 
 # --- fixed values: thresholds of the patterns, and the texts of observations
 THRASH_EVENTS, THRASH_MINUTES, REDUNDANT_AT, REPEATED_AT = 4, 5, 5, 3
@@ -33,8 +34,8 @@ def _extra(**values: Column) -> Column:
 def snapshot_of(symbols: DataFrame) -> DataFrame:
     """(file_path, symbol_name, kind, signature, signature_hash): per file and name the last symbol."""
     rows = symbols.select(F.col("path").alias("file_path"), F.col("name").alias("symbol_name"), "kind", "signature", "ord")
-    best = rows.groupBy("file_path", "symbol_name").agg(F.max_by(F.struct("kind", "signature", "ord"), "ord").alias("v"))
-    return best.select("file_path", "symbol_name", "v.kind", "v.signature", scalars.signature_hash(F.col("v.signature")).alias("signature_hash"), F.col("v.ord").alias("ord"))
+    best = last_per_key(rows, ["file_path", "symbol_name"], F.col("ord"))
+    return best.select("file_path", "symbol_name", "kind", "signature", scalars.signature_hash(F.col("signature")).alias("signature_hash"), "ord")
 
 
 def diff(old: DataFrame, new: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -144,13 +145,10 @@ def dead_ends(events: DataFrame) -> DataFrame:
     """The first removal of a symbol that the session had added, once per session, file and symbol."""
     key = ["session_id", "file_path", "symbol_name"]
     at = F.struct("timestamp", "id")
-    rows = events.filter(F.col("event_type").isin("symbol_added", "symbol_removed")).groupBy(*key).agg(
-        F.min(F.when(F.col("event_type") == "symbol_added", at)).alias("added"),
-        F.sort_array(F.collect_list(F.when(F.col("event_type") == "symbol_removed", at))).alias("removed"),
-    )
-    hit = F.filter("removed", lambda r: r > F.col("added"))
-    rows = rows.filter(F.col("added").isNotNull()).withColumn("hit", hit).filter(F.size("hit") > 0)
-    rows = rows.select(*key, F.col("hit")[0]["timestamp"].alias("timestamp"))
+    added = events.filter(F.col("event_type") == "symbol_added").groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min(at).alias("_added"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    removed = events.filter(F.col("event_type") == "symbol_removed").join(added, same).filter(at > F.col("_added"))
+    rows = removed.groupBy(*key).agg(F.min(at).alias("hit")).select(*key, F.col("hit.timestamp").alias("timestamp"))
     return _found(rows, "dead_end", _extra(description=F.format_string(DEAD_END_EXTRA, "symbol_name")), F.format_string(DEAD_END, "symbol_name"))
 
 

@@ -114,12 +114,28 @@ def search_docs_grouped(v):
     return _search(v, "(with AND from) OR trash")
 
 
-@query()
+_NEAR = "len(list_filter({0}, lambda x: len(list_filter({1}, lambda y: abs(x - y) <= 6)) > 0))"
+_AT = "list_filter(range(1, len(t) + 1), lambda i: t[i] = '{}')".format
+
+
+@query(
+    _bm25([_term("with"), _term("from"), _NEAR.format(_AT("with"), _AT("from")), _NEAR.format(_AT("from"), _AT("with"))], "f2 > 0 AND f3 > 0", final="").rsplit("hits AS", 1)[0]
+    + f"""i AS (SELECT docs, avgdl, CASE WHEN ln((docs - n0 + 0.5) / (n0 + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - n0 + 0.5) / (n0 + 0.5)) END AS ia,
+  CASE WHEN ln((docs - n1 + 0.5) / (n1 + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - n1 + 0.5) / (n1 + 0.5)) END AS ib FROM st),
+hits AS (SELECT id, path, text, 0.0 - ia * f2 * 2.2 / (f2 + 1.2 * (0.25 + 0.75 * dl / avgdl)) - ib * f3 * 2.2 / (f3 + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM f, i WHERE f2 > 0 AND f3 > 0)
+SELECT id, path, CASE WHEN length(trim(text, E' \\t\\n\\r')) <= 200 THEN trim(text, E' \\t\\n\\r') ELSE left(trim(text, E' \\t\\n\\r'), 200) || '…' END AS preview, round(score, 6) AS score
+FROM (SELECT * FROM hits ORDER BY score, id LIMIT 20)"""
+)
 def search_docs_near(v):
+    """Both words with at most five others between them; only occurrences that are near count."""
     return _search(v, "NEAR(with from, 5)")
 
 
-@query()
+@query(
+    _bm25([_term("etaient"), _term("fur"), _term("cion")], "f0 > 0 OR f1 > 0 OR f2 > 0", ["f0 > 0", "f1 > 0", "f2 > 0"], final="SELECT id, round(score, 6) AS score FROM (SELECT * FROM hits ORDER BY score, id LIMIT 20)").replace(
+        "lower(text)", "strip_accents(lower(text))"
+    )
+)
 def search_docs_folded(v):
     p, n = fts.build_index(v.texts, ("content",))
     return fts.search(p, n, "etaient OR fur OR cion", ("content",)).select("id", F.round("score", 6).alias("score"))
@@ -189,15 +205,14 @@ def files_view_hash_tokens(v):
 
 
 @query(
-    f"""WITH f AS (SELECT {_PATH} AS path, text FROM documents) SELECT path, reverse(split_part(reverse(path), '/', 1)) AS name, md5(path) AS hash, substr(md5(trim(regexp_replace(left(text, 60), '\\s+', ' ', 'g'))), 1, 8) AS signature_hash,
+    f"""WITH f AS (SELECT {_PATH} AS path, text FROM documents) SELECT path, reverse(split_part(reverse(path), '/', 1)) AS name, md5(path) AS hash, substr(md5(trim(regexp_replace(text, '[\\t-\\r \\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{FEFF}}]+', ' ', 'g'))), 1, 8) AS signature_hash,
  substr(sha256(path), 1, 8) AS project_hash, CAST(7842 + CAST('0x' || substr(sha256(path), 1, 4) AS INT) % 2000 AS INT) AS port, 'text' AS language FROM f"""
 )
 def project_hash_port(v):
     f = v.texts
     path = F.col("path")
-    sig = F.substring(F.md5(F.trim(F.regexp_replace(F.substring("content", 1, 60), r"\s+", " "))), 1, 8)
     return f.select(
-        "path", scalars.basename(path).alias("name"), scalars.content_hash(path).alias("hash"), sig.alias("signature_hash"), scalars.project_hash(path).alias("project_hash"),
+        "path", scalars.basename(path).alias("name"), scalars.content_hash(path).alias("hash"), scalars.signature_hash(F.col("content")).alias("signature_hash"), scalars.project_hash(path).alias("project_hash"),
         scalars.project_port(scalars.project_hash(path)).alias("port"), scalars.language_of(path).alias("language"),
     )
 
@@ -322,14 +337,19 @@ def find_usages_topk(v):
     return j.select("file", F.col("used_at_line").alias("line"), "used_in_file", F.concat_ws(":", "file", F.col("used_at_line").cast("string")).alias("context"))
 
 
-@query("SELECT DISTINCT l_suppkey AS from_file, l_partkey AS to_file, CAST(l_linenumber AS VARCHAR) AS symbol_name FROM lineitem")
+@query("SELECT DISTINCT l_suppkey AS from_file, l_partkey AS to_file, CASE WHEN l_linenumber = 7 THEN '' ELSE CAST(l_linenumber AS VARCHAR) END AS symbol_name FROM lineitem")
 def insert_ignore_dependencies(v):
-    return v.dependencies.dropDuplicates(["from_file", "to_file", "symbol_name"])
+    """Rows that are there already, or come twice, are ignored; a missing symbol is the empty one."""
+    name = F.when(F.col("symbol_name") != "7", F.col("symbol_name"))
+    rows = v.dependencies.withColumn("symbol_name", name)
+    old = dml.insert_ignore(v.spark.createDataFrame([], "id long, from_file long, to_file long, symbol_name string"), rows.filter("symbol_name = '1'"), "dependencies")
+    return dml.insert_ignore(old, rows, "dependencies").drop("id")
 
 
 @query("SELECT count(*) AS left_over FROM lineitem WHERE l_suppkey % 10 <> 0 AND l_partkey % 10 <> 0")
 def delete_file_cascade(v):
-    gone = v.spark.range(0, 2_000_000, 10).toDF("file_id")
+    ends = v.dependencies.select(F.col("from_file").alias("file_id")).unionByName(v.dependencies.select(F.col("to_file").alias("file_id")))
+    gone = ends.filter("file_id % 10 = 0").distinct()
     d = dml.delete_where(v.dependencies, gone, {"from_file": "file_id"})
     return dml.delete_where(d, gone, {"to_file": "file_id"}).agg(F.count(F.lit(1)).alias("left_over"))
 
@@ -605,11 +625,12 @@ def page_tokens_and_size(v):
     return v.raw("pages").select("page_id", scalars.estimate_tokens(h).alias("tokens"), (F.octet_length(h) <= scan.MAX_FILE_BYTES).alias("within_limit"))
 
 
-@query("SELECT p_partkey AS id, p_name AS name, count(l_orderkey) AS uses, max(l_quantity) > 49 AS has_stale FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE p_partkey <= 50 GROUP BY ALL")
+@query("SELECT p_partkey AS id, p_name AS name, coalesce(uses, 0) AS uses, has_stale FROM part LEFT JOIN (SELECT l_partkey, count(*) AS uses, max(l_quantity) > 49 AS has_stale FROM lineitem GROUP BY 1) ON l_partkey = p_partkey")
 def symbol_join_aggregate(v):
-    part = v.raw("part").filter("p_partkey <= 50").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    li = v.raw("lineitem").select(F.col("l_partkey").alias("id"), "l_orderkey", "l_quantity")
-    return part.join(li, "id", "left").groupBy("id", "name").agg(F.count("l_orderkey").alias("uses"), F.bool_or(F.col("l_quantity") > 49).alias("has_stale"))
+    """Uses are counted per symbol before the join."""
+    part = v.raw("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    uses = v.raw("lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count(F.lit(1)).alias("uses"), F.bool_or(F.col("l_quantity") > 49).alias("has_stale"))
+    return part.join(uses, "id", "left").select("id", "name", F.coalesce("uses", F.lit(0)).alias("uses"), "has_stale")
 
 
 @query("SELECT user_id AS session_id, event_id AS id, n FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 3")
@@ -711,59 +732,111 @@ def stream_failed_search_alerts(v):
     return _stream(v, shape, run).select("session_id", "key", stamp("timestamp").alias("timestamp"))
 
 
-# --- extractors (no SQL form)
+# --- extractors
+
+
+def _sources(v: Views, extension: str, header: str, body: str) -> DataFrame:
+    """A source file per document, a declaration per line of its whole text: named by the line's first word and number,
+    with the line as a comment. {n} is the name, {l} the line, {i} its number, {id} the document, {to} the next one."""
+    word = lambda line: F.coalesce(F.nullif(F.regexp_extract(F.lower(line), "[a-z]+", 0), F.lit("")), F.lit("none"))
 
+    def declared(line, i):
+        out, name = F.lit(body), F.concat(word(line), F.lit("_"), i.cast("string"))
+        for mark, value in (("{n}", name), ("{i}", i.cast("string")), ("{l}", line)):
+            out = F.replace(out, F.lit(mark), value)
+        return out
 
-def _sources(v: Views, path: str, body: str) -> DataFrame:
-    """A source file per document, made of its words."""
-    words = F.slice(F.split(F.regexp_replace(F.lower("content"), "[^a-z]+", " "), " "), 2, 3)
-    made = F.format_string(body, F.get(words, 0), F.get(words, 1), F.get(words, 2))
-    return v.texts.filter(F.size(words) == 3).select(F.concat(F.lit("src/"), F.col("id").cast("string"), F.lit(path)).alias("path"), made.alias("content"))
+    head = F.replace(F.replace(F.lit(header), F.lit("{id}"), F.col("id").cast("string")), F.lit("{to}"), (F.col("id") + 1).cast("string"))
+    made = F.concat(head, F.array_join(F.transform(F.split("content", "\n"), declared), ""))
+    return v.texts.select("id", F.concat(F.lit("src/"), F.col("id").cast("string"), F.lit(extension)).alias("path"), made.alias("content"))
 
 
 _BODIES = {
-    "java": (".java", "import a.b.C;\npublic class K%s {\n  public int m%s(int x) {\n    return %s;\n  }\n}\n"),
-    "kotlin": (".kt", "import a.b.C\nclass K%s {\n  fun m%s(x: Int) {}\n}\n// %s"),
-    "python": (".py", "from .a import b\nclass K%s:\n    pass\ndef f%s():\n    return '%s'\n"),
-    "php": (".php", "use A\\B;\nclass K%s {\n  public function m%s($x) {}\n}\n// %s"),
-    "ruby": (".rb", "require 'x'\nclass K%s\n  def m%s\n  end # %s\nend\n"),
-    "csharp": (".cs", "using System.Text;\npublic class K%s {\n  public void M%s(int x) {} // %s\n}\n"),
-    "go": (".go", "import \"fmt\"\ntype K%s struct {}\nfunc m%s(x int) {} // %s\n"),
-    "rust": (".rs", "use std::io;\npub struct K%s;\npub fn f%s() {} // %s\n"),
-    "ts": (".ts", "import { a } from './0';\nexport class K%s {\n  async m%s(x: number): Promise<void> { try { } catch (e) { } }\n}\napp.get('/%s', (req, res) => {});\n"),
+    "java": (".java", "import a.b.C;\n", "public class K{n} {\n  // {l}\n  public int m{n}(int x) { return {i}; }\n}\n"),
+    "kotlin": (".kt", "import a.b.C\n", "class K{n} {\n  // {l}\n  fun m{n}(x: Int) {}\n}\n"),
+    "python": (".py", "from .a import b\n", "class K{n}:\n    # {l}\n    pass\ndef f{n}():\n    return {i}\n"),
+    "php": (".php", "use A\\B;\n", "class K{n} {\n  // {l}\n  public function m{n}($x) {}\n}\n"),
+    "ruby": (".rb", "require 'x'\n", "class K{n}\n  # {l}\n  def m{n}\n  end\nend\n"),
+    "csharp": (".cs", "using System.Text;\n", "public class K{n} {\n  // {l}\n  public void M{n}(int x) { }\n}\n"),
+    "go": (".go", "import \"fmt\"\n", "type K{n} struct {}\n// {l}\nfunc m{n}(x int) {}\n"),
+    "rust": (".rs", "use std::io;\n", "pub struct K{n};\n// {l}\npub fn f{n}() {}\n"),
+    "ts": (".ts", "import { a, b } from './{to}';\n", "export class K{n} {\n  // {l}\n  async m{n}(x: number): Promise<void> { try { } catch (e) { } }\n}\napp.get('/{n}', (req, res) => {});\n"),
 }
+#: What each declaration gives: kind, name, signature, first and last line in it, exported, async, with try and catch.
+_FOUND = {
+    "java": [("class", "K{n}", "public class K{n} {", 0, 0, True, False, False), ("method", "m{n}", "public int m{n}(int x) { return {i}; }", 2, 2, True, False, False)],
+    "kotlin": [("class", "K{n}", "class K{n} {", 0, 0, True, False, False), ("function", "m{n}", "fun m{n}(x: Int) {}", 2, 2, True, False, False)],
+    "python": [("class", "K{n}", "class K{n}:", 0, 0, True, False, False), ("function", "f{n}", "def f{n}():", 3, 3, True, False, False)],
+    "php": [("class", "K{n}", "class K{n} {", 0, 0, True, False, False), ("function", "m{n}", "public function m{n}($x) {}", 2, 2, True, False, False)],
+    "ruby": [("class", "K{n}", "class K{n}", 0, 0, True, False, False), ("method", "m{n}", "def m{n}", 2, 2, True, False, False)],
+    "csharp": [("class", "K{n}", "public class K{n} {", 0, 0, True, False, False), ("method", "M{n}", "public void M{n}(int x) { }", 2, 2, True, False, False)],
+    "go": [("class", "K{n}", "type K{n} struct {}", 0, 0, True, False, False), ("function", "m{n}", "func m{n}(x int) {}", 2, 2, True, False, False)],
+    "rust": [("class", "K{n}", "pub struct K{n};", 0, 0, True, False, False), ("function", "f{n}", "pub fn f{n}() {}", 2, 2, True, False, False)],
+    "ts": [
+        ("class", "K{n}", "class K{n}", 0, 3, True, False, True), ("method", "m{n}", "m{n}(x: number): Promise<void>", 2, 2, False, True, True),
+        ("route", "GET /{n}", "GET /{n}", 4, 4, False, False, False),
+    ],
+}
+_LINES = """ls AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+ln AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, unnest(ls) AS l FROM ls),
+nm AS (SELECT doc_id, i, coalesce(nullif(regexp_extract(lower(l), '[a-z]+'), ''), 'none') || '_' || i AS n FROM ln)"""
+
+
+def _found_sql(name: str) -> str:
+    extension, _, body = _BODIES[name]
+    text = lambda s: "replace(replace('" + s.replace("'", "''") + "', '{n}', n), '{i}', CAST(i AS VARCHAR))"
+    first = f"2 + i * {body.count(chr(10))}"
+    rows = [
+        f"""SELECT 'src/' || doc_id || '{extension}' AS path, {text(label)} AS name, '{kind}' AS kind, left({text(sig)}, {80 if name != 'ts' else 100_000}) AS signature, CAST({first} + {a} AS INT) AS start_line, CAST({first} + {b} AS INT) AS end_line,
+ {exported} AS is_exported, {is_async} AS is_async, {tries} AS has_try_catch FROM nm"""
+        for kind, label, sig, a, b, exported, is_async, tries in _FOUND[name]
+    ]
+    return f"WITH {_LINES} " + " UNION ALL ".join(rows)
 
 
-def _add_extractor(name: str, path: str, body: str) -> None:
+def _add_extractor(name: str) -> None:
     def f(v: Views) -> DataFrame:
-        return parse.symbols(parse.parse(_sources(v, path, body))).drop("ord")
+        return parse.symbols(parse.parse(_sources(v, *_BODIES[name]))).drop("ord")
 
     f.__name__ = f"{'ts' if name == 'ts' else 'regex'}_symbols" + ("" if name == "ts" else f"_{name}")
-    query()(f)
+    query(_found_sql(name))(f)
 
 
-for _name, (_path, _body) in _BODIES.items():
-    _add_extractor(_name, _path, _body)
+for _name in _BODIES:
+    _add_extractor(_name)
 
 
-@query()
+@query(
+    """WITH f AS (SELECT doc_id, row_number() OVER (ORDER BY 'src/' || doc_id || '.ts') AS id FROM documents)
+SELECT a.id AS from_file, b.id AS to_file, s AS symbol_name FROM f a JOIN f b ON b.doc_id = a.doc_id + 1, (VALUES ('a'), ('b')) t(s)"""
+)
 def import_resolution(v):
+    """Every file imports two symbols of the next; that of the last has no file."""
     src = _sources(v, *_BODIES["ts"])
-    files = dml.with_ids(src.select("path"), v.spark.createDataFrame([(0,)], "id long"), ["path"])
+    files = dml.with_ids(src.select("path"), v.spark.createDataFrame([], "id long"), ["path"])
     return graph.resolve(parse.imports(parse.parse(src)), files)
 
 
-@query()
+@query(f"WITH {_LINES} SELECT 'GET' AS method, '/' || n AS path, 'src/' || doc_id || '.ts' AS file, CAST(6 + i * 5 AS INT) AS line, false AS is_async, false AS has_try_catch FROM nm")
 def api_endpoints(v):
-    s = parse.symbols(parse.parse(_sources(v, *_BODIES["ts"]))).filter("kind = 'route'")
-    method, path = scalars.route_parts(F.col("name"), F.col("signature"))
-    return s.select(method.alias("method"), path.alias("route"), F.col("path").alias("file"), F.col("start_line").alias("line")).orderBy("file", "line")
+    """The tool over the symbols of all parsed files."""
+    src = _sources(v, *_BODIES["ts"])
+    files = src.select("id", "path")
+    s = parse.symbols(parse.parse(src)).join(files.withColumnRenamed("id", "file_id"), "path").drop("path")
+    return tools.Project(v.spark, {"files": files, "symbols": s}).call("get_api_endpoints")
 
 
-@query()
+@query(
+    f"""WITH l AS (SELECT {_PATH} AS path, string_split(text, chr(10)) AS ls FROM documents),
+r AS (SELECT path, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS raw FROM l),
+m AS (SELECT path, pos, regexp_matches(raw, '^[A-Z][a-z]+\\.$') AS title, CASE WHEN regexp_matches(raw, '^[A-Z][a-z]+\\.$') THEN '## ' || raw ELSE raw END AS line, raw FROM r),
+s AS (SELECT *, sum(CAST(title AS INT)) OVER (PARTITION BY path ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM m),
+g AS (SELECT path, section, max(CASE WHEN title THEN raw END) AS heading, min(pos) AS start_line, max(pos) AS end_line, string_agg(line, chr(10) ORDER BY pos) AS content FROM s GROUP BY path, section)
+SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY start_line) - 1 AS INT) AS chunk_index, heading, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, md5(content) AS content_hash FROM g WHERE regexp_matches(content, '[^\\s]')"""
+)
 def heading_chunks(v):
     marked = v.texts.select("path", F.regexp_replace("content", r"(?m)^([A-Z][a-z]+\.)$", "## $1").alias("content"))
-    return parse.heading_chunks(marked).select("path", "chunk_index", "heading", "start_line", "end_line")
+    return parse.heading_chunks(marked).select("path", "chunk_index", "heading", "start_line", "end_line", F.md5("content").alias("content_hash"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import scalars
 from ..operators import dml, graph, memory, parse
 from ..sources.store import Store
@@ -38,8 +39,8 @@ def summarised(files: DataFrame, summarise: Callable[[str, str], str | None] | N
 
 def index_files(tables: dict[str, DataFrame], scanned: DataFrame, whole: bool = True, force: bool = False, summarise=None, session_id: str | None = None):
     """(tables, status): the tables after indexing the scanned files (path, content). Unchanged files are skipped by hash;
-    with ``whole``, files that the scan lacks are deleted. Edges are resolved for the whole project at once, from one
-    parse. With a session, changes of symbols become events and make older observations stale."""
+    with ``whole``, files that the scan lacks are deleted. Only changed files are parsed; the imports of all files are kept
+    in a table, and edges are resolved from it for the whole project at once. With a session, changes of symbols become events and make older observations stale."""
     rows = parse.changed_files(parse.file_rows(scanned), tables["files"])
     rows = rows.withColumn("status", F.when((F.col("status") == "skipped") & F.lit(force), "updated").otherwise(F.col("status"))).persist()
     todo = summarised(rows.filter("status <> 'skipped'"), summarise)
@@ -48,8 +49,9 @@ def index_files(tables: dict[str, DataFrame], scanned: DataFrame, whole: bool =
         out = dml.delete_files(out, dml.vanished(out["files"], rows))
     new_files = todo.select("path", "language", "summary", F.current_timestamp().alias("last_indexed"), "hash", "raw_token_estimate")
     out["files"] = dml.merge(out["files"], new_files, "files")
-    # parsed once: symbols of changed files, imports of all scanned files
-    code = rows.filter(~scalars.is_document_language(F.col("language")))
+    # parsed once: symbols and imports of changed files, and of all scanned files where no imports were kept before
+    had = "imports" in tables and (tables["imports"].limit(1).count() > 0 or tables["files"].limit(1).count() == 0)
+    code = (todo if had else rows).filter(~scalars.is_document_language(F.col("language")))
     parsed = parse.parse(code).persist()
     ids = out["files"].select("path", F.col("id").alias("file_id"))
     touched = todo.select("path")
@@ -61,10 +63,18 @@ def index_files(tables: dict[str, DataFrame], scanned: DataFrame, whole: bool =
     chunks = parse.document_chunks(todo.select("path", "content")).join(ids, "path").drop("path")
     kept = dml.delete_where(out["documents"], gone, {"file_id": "file_id"})
     out["documents"] = kept.unionByName(dml.schema_like(dml.with_ids(chunks, out["documents"], ["file_id", "chunk_index"]), out["documents"]))
-    edges = graph.resolve(parse.imports(parsed), out["files"])
-    seen = rows.join(ids, "path").select("file_id")
-    kept = dml.delete_where(out["dependencies"], seen, {"from_file": "file_id"})
-    out["dependencies"] = dml.insert_ignore(kept, edges, "dependencies")
+    edge = ["from_file", "to_file", "symbol_name"]
+    read = parse.imports(parsed).join(ids, "path").drop("path")
+    none = schema.empty(rows.sparkSession, "imports")
+    kept = dml.delete_where(out["imports"], gone, {"file_id": "file_id"}) if had else none
+    out["imports"] = kept.unionByName(dml.schema_like(dml.with_ids(read, out["imports"] if had else none, ["file_id", "ord", "symbol_name"]), none))
+    edges = graph.resolve(out["imports"].join(ids, "file_id").select("path", "source", "symbol_name"), out["files"])
+    # an edge that stays keeps its id
+    old = out["dependencies"]
+    edges = edges.join(old.select(*edge, "id"), edge, "left")
+    fresh = dml.with_ids(edges.filter("id IS NULL"), old, edge)
+    left = old.limit(0) if had else dml.delete_where(old, rows.join(ids, "path").select("file_id"), {"from_file": "file_id"})
+    out["dependencies"] = left.unionByName(dml.schema_like(edges.filter("id IS NOT NULL"), old)).unionByName(dml.schema_like(fresh, old))
     # snapshots and what their changes mean
     looked = touched.withColumnRenamed("path", "file_path")
     new_snap = memory.snapshot_of(found)

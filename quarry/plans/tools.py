@@ -101,6 +101,15 @@ class Project:
                 self._indexes[table] = (p.persist(), n.persist())
         return self._indexes[table]
 
+    def refreshed(self, table: str, before: DataFrame, columns: tuple[str, ...]) -> None:
+        """Bring the full-text index of a table that changed up to date: only rows with new ids are tokenised."""
+        if table not in self._indexes and self.index_dir is None:
+            return  # it is built when it is asked for
+        p, n = self._indexes.get(table) or fts.load_index(self.spark, f"{self.index_dir}/{table}")
+        now = self[table]
+        changed, removed = now.join(before.select("id"), "id", "left_anti"), before.select("id").join(now.select("id"), "id", "left_anti")
+        self._indexes[table] = fts.refresh_index(p, n, changed, removed, columns)
+
     def save_indexes(self, index_dir: str) -> None:
         """Write the full-text indexes of all searched tables, and search there from now on."""
         for table, columns in (("symbols", SYMBOL_COLUMNS), ("documents", DOCUMENT_COLUMNS), ("context_entries", CONTEXT_COLUMNS)):
@@ -132,14 +141,22 @@ def search_symbols(p: Project, query: str, limit: int = 20, is_async=None, has_t
         rows = _top_symbols(q, query, limit, is_async, has_try_catch)
         rows = rows.withColumns({"project": F.lit(label).cast("string"), "project_ord": F.lit(k), "rank": F.row_number().over(Window.partitionBy(F.lit(k)).orderBy("score", "id"))})
         text = F.lit(None).cast("string")
-        if k == 0 and snippet and q.texts is not None:
-            rows = rows.join(q.texts.select(F.col("path").alias("file"), F.col("content").alias("_text")), "file", "left")
+        if k == 0 and snippet:
+            paths = [r.file for r in rows.select("file").distinct().collect()]  # at most limit rows
+            rows = rows.join(_texts(q, paths).select(F.col("path").alias("file"), F.col("content").alias("_text")), "file", "left")
             text = scalars.line_slice(F.col("_text"), F.col("start_line"), 5)
         rows = rows.select("project_ord", "rank", "project", *shape, "score", text.alias("snippet"))
         out = rows if out is None else out.unionByName(rows)
     return out.orderBy("project_ord", "rank").limit(limit * (1 + len(p.federated)))
 
 
+def _texts(p: Project, paths: list[str]) -> DataFrame:
+    """(path, content) of named files: of the project's texts, or read from its tree."""
+    if p.texts is not None:
+        return p.texts.filter(F.col("path").isin(paths))
+    return scan.as_text(scan.named_files(p.spark, p.root, paths)).select("path", "content")
+
+
 def _symbol(p: Project, name: str, file: str | None) -> DataFrame:
     f = p["files"].select(F.col("id").alias("file_id"), F.col("path").alias("file"))
     rows = p["symbols"].filter(F.col("name") == name).join(f, "file_id")
@@ -189,7 +206,7 @@ def get_context(p: Project, file: str, line: int, range: int = 30) -> DataFrame:
     # the window knows the file's end only if it lies within the lines it reads
     total = F.when(F.size(lines) <= max(1, line) + range, F.size(lines)).otherwise(F.lit(2**30))
     first, last = context_range(F.lit(line), range, total)
-    t = p.texts.filter(F.col("path") == file).withColumns({"start_line": first, "end_line": last})
+    t = _texts(p, [file]).withColumns({"start_line": first, "end_line": last})
     beyond = F.lit(max(1, line)) > F.size(lines)
     code = F.array_join(F.slice(lines, F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))), "\n")
     return t.select(F.col("path").alias("file"), "start_line", "end_line", scalars.language_of(F.col("path")).alias("language"), F.when(beyond, F.lit("")).otherwise(code).alias("code"))
@@ -337,8 +354,9 @@ def save_context(p: Project, content: str, tags: str | None = None) -> DataFrame
     """The stored entry: id and created_at."""
     top = p["context_entries"].agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first().m
     row = p.spark.createDataFrame([(top + 1, p.session_id, content, tags)], "id long, session_id string, content string, tags string").withColumn("created_at", F.current_timestamp())
-    p.tables["context_entries"] = p["context_entries"].unionByName(dml.schema_like(row, p["context_entries"]))
-    p._indexes["context_entries"] = fts.build_index(p["context_entries"], CONTEXT_COLUMNS)
+    known = p["context_entries"]
+    p.tables["context_entries"] = known.unionByName(dml.schema_like(row, known))
+    p.refreshed("context_entries", known, CONTEXT_COLUMNS)
     return row.select("id", "created_at")
 
 
@@ -368,13 +386,15 @@ def reindex(p: Project, target: str | None = None, languages=scan.DEFAULT_LANGUA
     """Index the tree, or one file of it, into the project's tables: (status, n)."""
     from .indexing import index_files
 
-    files = scan.scan_project(p.spark, p.root, languages)
-    if target is not None:
-        files = files.filter(F.col("path") == target)
+    if target is None:
+        files = scan.scan_project(p.spark, p.root, languages)
+    else:  # reads that file only
+        files = scan.as_text(scan.within_size(scan.named_files(p.spark, p.root, [target]))).filter(~F.col("path").rlike(scan.IGNORE_PATTERN))
+    before = {t: p[t] for t in ("symbols", "documents")}
     tables, status = index_files(p.tables, files, whole=target is None, force=force)
     p.tables.update(tables)
-    p._indexes.clear()
-    p.index_dir = None  # saved indexes are of the tables before
+    p.refreshed("symbols", before["symbols"], SYMBOL_COLUMNS)
+    p.refreshed("documents", before["documents"], DOCUMENT_COLUMNS)
     return status
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, MapType, StringType, StructField, StructType, TimestampType
 
-SCHEMA_VERSION = 5
+SCHEMA_VERSION = 6
 
 _TYPES = {
     "long": LongType(), "int": IntegerType(), "string": StringType(), "boolean": BooleanType(), "timestamp": TimestampType(),
@@ -26,6 +26,7 @@ TABLES: dict[str, StructType] = {
         "files": "id long!, path string!, language string!, summary string, last_indexed timestamp, hash string, raw_token_estimate long",
         "symbols": "id long!, file_id long!, name string, kind string, signature string, summary string, start_line int, end_line int, is_exported boolean, is_async boolean, has_try_catch boolean",
         "dependencies": "id long!, from_file long!, to_file long!, symbol_name string",
+        "imports": "id long!, file_id long!, ord int, source string, symbol_name string",
         "usages": "id long!, symbol_id long!, used_in_file long!, used_at_line int",
         "token_log": "id long!, timestamp timestamp, session_id string, tool_name string, tokens_used long, tokens_without_index long, files_touched strings, query string",
         "sessions": "id string!, started_at timestamp, mode string, label string",

@@ -64,15 +64,53 @@ def scan_documents(spark: SparkSession, root: str) -> DataFrame:
     return as_text(within_size(scan_tree(spark, root, DOCUMENT_EXTENSIONS)))
 
 
+def _file(spark: SparkSession, path: str):
+    """(file system, path) as Hadoop has them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file from the driver, replacing what is there."""
+    fs, p = _file(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file on the driver, None if there is none."""
+    fs, p = _file(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def named_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """(path, length, modified, content) of the named files of a tree, and of no others; a missing file has no row."""
+    found = []
+    for p in dict.fromkeys(paths):
+        fs, full = _file(spark, f"{root.rstrip('/')}/{p}")
+        if fs.exists(full):
+            found.append((fs.makeQualified(full).toString(), p))
+    if not found:
+        return spark.createDataFrame([], "path string, length long, modified timestamp, content binary")
+    raw = spark.read.format("binaryFile").load(["".join("\\" + c if c in "{}[]*?\\" else c for c in full) for full, _ in found])
+    names = F.broadcast(spark.createDataFrame(found, "full string, name string"))  # one row per named path
+    return raw.join(names, F.col("path") == F.col("full")).select(F.col("name").alias("path"), "length", F.col("modificationTime").alias("modified"), "content")
+
+
 def scan_project(spark: SparkSession, root: str, languages=DEFAULT_LANGUAGES, extra: list[str] | None = None) -> DataFrame:
     """Code and documents, and explicitly named further paths."""
     found = scan_code(spark, root, languages).unionByName(scan_documents(spark, root))
     if extra:
-        more = spark.read.format("binaryFile").load([f"{root.rstrip('/')}/{p}" for p in extra])
-        names = spark.createDataFrame([(p,) for p in extra], "name string")
-        more = more.join(F.broadcast(names), F.col("path").endswith(F.concat(F.lit("/"), F.col("name"))))  # one row per named path
-        more = as_text(within_size(more.select(F.col("name").alias("path"), "length", F.col("modificationTime").alias("modified"), "content")))
-        found = found.unionByName(more)
+        found = found.unionByName(as_text(within_size(named_files(spark, root, extra))))
     return found
 
 
@@ -110,18 +148,23 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 class Registry:
     """The registry file, edited on the driver. A project is named by the first eight hex digits of its path's SHA-256;
-    its port derives from them, moving on while taken."""
+    its port derives from them, moving on while taken. With a session, the file may be in any store that Spark reads."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, spark: SparkSession | None = None):
+        self.path, self.spark = path, spark
 
     def projects(self) -> list[dict]:
+        if self.spark is not None:
+            return json.loads(read_text(self.spark, self.path) or "{}").get("projects", [])
         if not os.path.exists(self.path):
             return []
         with open(self.path) as f:
             return json.load(f).get("projects", [])
 
     def _write(self, projects: list[dict]) -> None:
+        if self.spark is not None:
+            write_text(self.spark, self.path, json.dumps({"version": 1, "projects": projects}, indent=1))
+            return
         temp = self.path + ".tmp"
         os.makedirs(os.path.dirname(self.path) or ".", exist_ok=True)
         with open(temp, "w") as f:

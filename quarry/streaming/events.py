@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -47,10 +48,9 @@ _COUNTED = "session_id string, event_type string, key string, n long, timestamp
 def _count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     n = state.get[0] if state.exists else 0
     out = []
-    for df in batches:
-        for t in df.sort_values("timestamp")["timestamp"]:
-            n += 1
-            out.append((*key, n, t))
+    for t in sorted(t for df in batches for t in df["timestamp"]):
+        n += 1
+        out.append((*key, n, t))
     state.update((n,))
     yield pd.DataFrame(out, columns=["session_id", "event_type", "key", "n", "timestamp"])
 
@@ -79,17 +79,18 @@ def threshold_alerts(counted: DataFrame) -> DataFrame:
 def _total(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     used, without = state.get if state.exists else (0, 0)
     out = []
-    for df in batches:
-        for row in df.sort_values(["timestamp", "id"]).itertuples(index=False):
-            used, without = used + row.tokens_used, without + row.tokens_without_index
-            percent = int((without - used) / without * 1000 + 0.5) / 10 if without > 0 and without >= used else 0.0
-            out.append((key[0], row.id, row.timestamp, used, without - used, percent))
+    # a group comes in several Arrow batches, in any order: what a trigger holds of it is sorted as a whole
+    for row in pd.concat(batches, ignore_index=True).sort_values(["timestamp", "id"]).itertuples(index=False):
+        used, without = used + row.tokens_used, without + row.tokens_without_index
+        percent = math.floor((without - used) / without * 1000 + 0.5) / 10 if without > 0 else 0.0
+        out.append((key[0], row.id, row.timestamp, used, without - used, percent))
     state.update((used, without))
     yield pd.DataFrame(out, columns=["session_id", "id", "timestamp", "cumulative_actual", "cumulative_savings", "cumulative_percent"])
 
 
 def running_totals(log: DataFrame) -> DataFrame:
-    """Log rows (id, session_id, timestamp, tokens_used, tokens_without_index) with running totals per session."""
+    """Log rows (id, session_id, timestamp, tokens_used, tokens_without_index) with running totals per session: rows of
+    a trigger in order of time and id, after those of the triggers before. State is two numbers per session."""
     rows = log.select("id", "session_id", "timestamp", "tokens_used", "tokens_without_index")
     schema = "session_id string, id long, timestamp timestamp, cumulative_actual long, cumulative_savings long, cumulative_percent double"
     return rows.groupBy("session_id").applyInPandasWithState(_total, schema, "used long, without_index long", "append", GroupStateTimeout.NoTimeout)
