@@ -20,7 +20,7 @@ def _slice(level: int, bits: int) -> Column:
     return F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * F.lit(most) / F.lit(1 << 32)).cast("long")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fan_bits: int = 2) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fan_bits: int = 3) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     A binomial tree of sorted runs. At its leaves, every partition of the input is a run of digests. In each round,
@@ -56,7 +56,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def merged(runs: DataFrame, level: int, size: Column) -> DataFrame:
         """Neighbouring runs merged to one, a range of the digest in a task."""
         ranged = runs.withColumn("range", _slice(level, fan_bits)).repartition(tasks, "run", "range")
-        return ranged.sortWithinPartitions("run", "range", *_KEY).groupBy("run", "range", *_KEY).agg(best("ident").alias("ident"), size.alias("group_size")).drop("range")
+        runs = ranged.sortWithinPartitions("run", "range", *_KEY).groupBy("run", "range", *_KEY).agg(best("ident").alias("ident"), size.alias("group_size"))
+        return cut(runs.drop("range"), "runs")  # every round stands on the written runs of the one before
 
     up = [merged(rows.withColumn("ident", ident), 0, F.count(F.lit(1)))]
     while left > 1:
