@@ -7,11 +7,12 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .common import SPACE_SPLIT
 
 #: Labelled rows that are fitted on, at most; those of the least id hashes.
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 20_000
 _TREES, _DEPTH, _BINS = 40, 3, 24
 
 
@@ -99,7 +100,7 @@ def _grow(binned, cuts, grad, names, rows, path, depth, features, out) -> None:
         _grow(binned, cuts, grad, names, side, [*path, (names[f], above, float(cuts[f][k]))], depth - 1, features, out)
 
 
-def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray, seed: int = 1, l1: float = 2e-3, rounds: int = 400) -> RuleEnsemble:
+def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray, seed: int = 1, l1: float = 3e-4, rounds: int = 400) -> RuleEnsemble:
     """Boosted shallow trees propose rules; lasso logistic regression (accelerated proximal gradient) keeps a sparse set.
     With fewer than two classes the score is the share of label 1, smoothed."""
     n, ones = len(y), float(y.sum()) if len(y) else 0.0
@@ -169,25 +170,33 @@ def fit_quality(
 def score_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: RuleEnsemble | None = None, **fit
 ) -> DataFrame:
-    """The input's columns with held_out, score (0 to 1) and predicted (1 if score >= 0.5).
+    """The input's columns with held_out, score (0 to 1) and predicted (1 if score >= 0.5). A column of the input that has
+    one of these names is replaced by the result; all others stay as they are, whatever their names.
 
-    Only statistics of the text are inputs. Null text counts as empty and is scored as such; without labels of both
-    classes the score is their smoothed share; an empty table gives no rows; repeated rows score alike.
+    Only statistics of the text are inputs; texts of any length are read whole. Null text counts as empty and is scored
+    as such; without labels of both classes the score is their smoothed share; a score of exactly 0.5 is label 1; an
+    empty table gives no rows; repeated rows score alike.
     """
+    rows = _scored(docs, labels, id_col, text_col, model, **fit)
+    own = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    return rows.select(*own, "held_out", "score", "predicted")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: RuleEnsemble | None = None, **fit) -> DataFrame:
+    """(_row, held_out, score, predicted), where _row holds the input's columns."""
     model = model or fit_quality(docs, labels, id_col, text_col, **fit)
     stats = statistics(F.col(text_col))
-    names = {n: f"_stat_{n}" for n in stats}
-    out = docs.withColumns({names[n]: c for n, c in stats.items()})
-    out = out.withColumn("score", model.column({n: F.col(c) for n, c in names.items()})).drop(*names.values())
-    return out.withColumns(
-        {"held_out": in_fold(id_col, fit.get("folds", 3), fit.get("held_out", 1)), "predicted": (F.col("score") >= 0.5).cast("int")}
-    )
+    held = in_fold(id_col, fit.get("folds", 3), fit.get("held_out", 1))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), held.alias("held_out"), *[c.alias(f"_stat_{n}") for n, c in stats.items()])
+    out = out.withColumn("score", model.column({n: F.col(f"_stat_{n}") for n in stats}))
+    return out.select("_row", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The input's rows that score 0.5 or more, with all their columns.
+    """The input's rows that score 0.5 or more, with all their columns as they are.
 
     A filter on the score would be pushed below the statistics, with their expressions repeated for every rule; rows are
     dropped by an explode of none or one instead, which stays above them."""
-    once = F.explode(F.when(F.col("predicted") == 1, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
-    return score_quality(docs, labels, **options).select(*docs.columns, once.alias("_once")).drop("_once")
+    rows = _scored(docs, labels, **options)
+    once = F.explode(F.when(F.col("predicted") == 1, F.array("_row")).otherwise(F.array().cast(ArrayType(docs.schema))))
+    return rows.select(once.alias("_row")).select("_row.*")
