@@ -16,8 +16,8 @@ from .quality import in_fold
 
 #: Documents that are fitted on, at most; those of the least id hashes.
 SAMPLE_ROWS = 4_000
-#: Characters that training takes of one document, from a place given by its id; predictions read whole texts.
-SAMPLE_CHARS = 8_192
+#: Bytes of text that the sample holds together, at most; documents beyond are left out whole, in order of the id hash.
+SAMPLE_BYTES = 64 << 20
 WINDOW, EMBED, FILTERS, WIDTHS = 128, 8, 8, (2, 3, 4)
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -130,12 +130,19 @@ def fit_language(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     sample_rows: int = SAMPLE_ROWS, folds: int = 4, held_out: int = 2, steps: int = 1200,
 ) -> ByteConvNet:
-    """Train on documents with text and language outside the held-out fold, at most ``sample_rows`` (by id hash)."""
+    """Train on documents with text and language outside the held-out fold: at most ``sample_rows``, and SAMPLE_BYTES of
+    text, by id hash. Crops are drawn at any place of the whole texts."""
     known = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0) & F.col(id_col).isNotNull()
-    begin = (F.pmod(F.xxhash64(F.col(id_col)), F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(0)) + 1) + 1).cast("int")
-    chosen = docs.filter(known & ~in_fold(id_col, folds, held_out)).select(F.col(id_col).alias("i"), F.substring(F.col(text_col), begin, F.lit(SAMPLE_CHARS)).alias("t"), F.col(lang_col).alias("l"))
-    ids = chosen.select("i").orderBy(F.xxhash64("i"), "i").limit(sample_rows)
-    pdf = chosen.join(F.broadcast(ids.distinct()), "i").orderBy("i", "l", "t").limit(sample_rows).toPandas()
+    rows = docs.filter(known & ~in_fold(id_col, folds, held_out)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    first = rows.select("i", F.octet_length("t").alias("n")).orderBy(F.xxhash64("i"), "i").limit(sample_rows).collect()
+    ids, held = set(), 0
+    for r in first:
+        held += r.n
+        if held <= SAMPLE_BYTES:
+            ids.add(r.i)
+    kind = docs.schema[id_col].dataType.simpleString()
+    chosen = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted(ids)], f"i {kind}")), "i")  # at most sample_rows
+    pdf = chosen.orderBy("i", "l", "t").limit(sample_rows).toPandas()
     if not len(pdf):
         return train([], [])
     return train(pdf["t"].tolist(), pdf["l"].tolist(), steps=steps)
@@ -174,7 +181,8 @@ def identify_language(
 
     Every window of the whole text is scored; a text's probability is the mean over its windows, weighted by bytes.
     Texts that are null or hold no letter are "und" with score 0, as is everything when nothing could be learned.
-    Repeated rows score alike; an empty table gives no rows; extra columns are ignored.
+    Of languages with equal probability the first by name is taken. Repeated rows score alike; an empty table gives no
+    rows; extra columns are ignored, whatever their names.
     """
     bounded_batches(docs.sparkSession)
     model = model or fit_language(docs, id_col, text_col, **fit)
