@@ -43,6 +43,9 @@ _NAMES = re.compile(
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
 _DIGITS = re.compile(r"\d+")
+_VALUES = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", re.S)
+#: Levels whose names a path spells out; below them it ends in a hash of the further names.
+_SPELLED = 60
 
 
 class Block:
@@ -55,10 +58,35 @@ class Block:
         self.path, self.text, self.skipped, self.main, self.plain = path, text, skipped, main, plain
 
 
-def parse_blocks(page: str) -> tuple[list[Block], dict[str, list[str]]]:
+class Children:
+    """What a node's children are in order: a running hash, in which repeats of one child in a row count once."""
+
+    __slots__ = ("last", "hash")
+
+    def __init__(self):
+        self.last, self.hash = None, hashlib.blake2b(digest_size=8)
+
+    def add(self, name: str) -> None:
+        if name != self.last:
+            self.last = name
+            self.hash.update(name.encode() + b"|")
+
+    def feature(self) -> int:
+        return int.from_bytes(self.hash.digest(), "little", signed=True)
+
+
+def _below(above: str, own: str, depth: int) -> str:
+    """The path of a child. Deep nodes keep a hash of the names below the spelled levels, so that they stay apart."""
+    if depth < _SPELLED:
+        return f"{above}/{own}"
+    spelled, _, tail = above.partition("/~")
+    return f"{spelled}/~{_hash(f'{tail}/{own}') & 0xFFFFFFFFFFFFFFFF:016x}"
+
+
+def parse_blocks(page: str) -> tuple[list[Block], dict[str, Children]]:
     """The text blocks of a page in order, and the children seen under every path."""
     blocks: list[Block] = []
-    children: dict[str, list[str]] = {}
+    children: dict[str, Children] = {}
     # open elements: (tag, path, skipped, in main, plain since main)
     stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, True)]
     held: list[str] = []
@@ -140,20 +168,20 @@ def parse_blocks(page: str) -> tuple[list[Block], dict[str, list[str]]]:
             found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTR.findall(attrs)}
             marks = f"{found.get('class', '')} {found.get('id', '')}".strip()
             if marks:
-                own += "." + _DIGITS.sub("0", ".".join(marks.split()))
+                own += "." + _DIGITS.sub("0", ".".join(marks.split())).replace("/", "|")
             role = found.get("role", "").lower()
             if tag not in ("html", "body") and (_NAMES.search(marks) or role in _ROLES) and not (tag in ("article", "main") and not main):
                 skipped = True
             if role == "main":
                 main, plain = True, True
-        if "hidden" in (attrs or "").lower().split():
+        if attrs and "hidden" in attrs.lower() and "hidden" in _VALUES.sub(" ", attrs.lower()).split():
             skipped = True
         if tag in _SKIP or (tag == "header" and not main):
             skipped = True
-        path = f"{above}/{own}" if len(stack) < 60 else above
-        seen = children.setdefault(above, [])
-        if len(seen) < 400:
-            seen.append(own)
+        path = _below(above, own, len(stack))
+        if above not in children:
+            children[above] = Children()
+        children[above].add(own)
         if tag in ("article", "main"):
             main, plain = True, True
         elif main and marks:
@@ -183,10 +211,8 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             blocks, children = parse_blocks(page)
             mark = _hash("\n".join(b.text for b in blocks if not b.skipped))
             seen = {(b.path, True, _hash(b.text)) for b in blocks}
-            # repeats of one child in a row count once: a list of three items is presented like one of nine
-            for path, kids in children.items():
-                runs = [k for i, k in enumerate(kids) if not i or kids[i - 1] != k]
-                seen.add((path, False, _hash("|".join(runs))))
+            # a list of three items is presented like one of nine
+            seen |= {(path, False, kids.feature()) for path, kids in children.items()}
             rows += [(host, mark, *x) for x in seen]
         yield pd.DataFrame(rows, columns=["host", "page", "path", "content", "feature"])
 
