@@ -35,22 +35,43 @@ _MERGED = _SENT + ", t long, n long, kinds long"
 # --- counts as bytes -----------------------------------------------------------------------------------------------
 
 
+def _packed(first: np.ndarray, counts: np.ndarray) -> bytes:
+    """Some bytes, and counts (2, n) in as few bytes each as the largest takes, compressed."""
+    kind = np.min_scalar_type(int(counts.max()) if counts.size else 0).newbyteorder("<")
+    body = first.tobytes() + counts.astype(kind).tobytes()
+    head = b"".join(x.to_bytes(6, "little") for x in (first.size, counts.shape[1], kind.itemsize))
+    return head + pa.Codec("zstd", 1).compress(body, asbytes=True)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size, n, width = (int.from_bytes(blob[k : k + 6], "little") for k in (0, 6, 12))
+    body = pa.Codec("zstd").decompress(blob[18:], size + 2 * n * width, asbytes=True)
+    return np.frombuffer(body, dtype=np.uint8, count=size), np.frombuffer(body, dtype=f"<u{width}", offset=size).reshape(2, n).astype(np.int64)
+
+
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted different keys with their counts, (2, keys) for target and all: byte planes of the steps, compressed."""
+    """Sorted different keys with their counts, (2, keys) for target and all: the steps between keys as byte planes."""
     steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    kind = np.min_scalar_type(int(counts.max()) if counts.size else 0).newbyteorder("<")
-    body = steps.view(np.uint8).reshape(-1, 8).T.tobytes() + counts.astype(kind).tobytes()
-    return len(keys).to_bytes(6, "little") + bytes([kind.itemsize, 0]) + pa.Codec("zstd", 1).compress(body, asbytes=True)
+    return _packed(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T), counts)
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, width = int.from_bytes(blob[:6], "little"), blob[6]
-    body = pa.Codec("zstd").decompress(blob[8:], n * (8 + 2 * width), asbytes=True)
-    steps = np.frombuffer(body, dtype=np.uint8, count=8 * n).reshape(8, n).T.copy().view("<u8").ravel()
-    counts = np.frombuffer(body, dtype=f"<u{width}", offset=8 * n).reshape(2, n).astype(np.int64)
+    planes, counts = _unpacked(blob)
+    steps = planes.reshape(8, -1).T.copy().view("<u8").ravel()
     return np.cumsum(steps, dtype=np.uint64), counts
 
 
+def pack_some(mask: np.ndarray, counts: np.ndarray) -> bytes:
+    """Counts (2, marked) of the marked keys of a block that has the keys itself."""
+    return _packed(np.packbits(mask), counts)
+
+
+def unpack_some(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the marked keys, and their counts."""
+    bits, counts = _unpacked(blob)
+    return np.flatnonzero(np.unpackbits(bits)), counts
+
+
 # --- one block of documents ----------------------------------------------------------------------------------------
 
 
@@ -180,8 +201,10 @@ def _whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.Dat
         yield at_block, pd.concat(held, ignore_index=True)
 
 
-def _edges(slices: int) -> np.ndarray:
-    return np.array([(i << 64) // slices for i in range(1, slices)], dtype=np.uint64)
+def _cuts(keys: np.ndarray, slices: int) -> np.ndarray:
+    """Where each slice of the sorted keys begins, and the end: slices are equal ranges of the hash."""
+    edges = np.array([(i << 64) // slices for i in range(1, slices)], dtype=np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
 def _count(slices: int) -> Callable:
@@ -190,7 +213,7 @@ def _count(slices: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at_block, df in _whole_blocks(batches):
             for kind, keys, counts in Block(df["_text"].tolist(), df["target"].to_numpy()).keyed():
-                at = np.concatenate([[0], np.searchsorted(keys, _edges(slices)), [len(keys)]])
+                at = _cuts(keys, slices)
                 rows = [(kind, s, at_block, pack(keys[a:b], counts[:, a:b])) for s, (a, b) in enumerate(zip(at, at[1:])) if b > a]
                 if rows:
                     yield pd.DataFrame(rows, columns=["kind", "slice", "block", "counts"])
@@ -203,21 +226,22 @@ def _merge(df: pd.DataFrame) -> pd.DataFrame:
     Words also give a row of totals: all words of target and background, and how many differ."""
     found = [unpack(x) for x in df["counts"]]
     kind, at_slice = int(df["kind"].iloc[0]), int(df["slice"].iloc[0])
-    blocks = np.repeat(np.arange(len(df)), [len(k) for k, _ in found])
+    edges = np.cumsum([0, *(len(k) for k, _ in found)])
     keys, counts = np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found], axis=1)
-    order = np.argsort(keys, kind="stable")
-    keys, blocks, counts = keys[order], blocks[order], counts[:, order]
+    del found
+    order = np.argsort(keys)
+    keys = keys[order]
     heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sums = np.add.reduceat(counts, heads, axis=1)
+    sums = np.add.reduceat(counts[:, order], heads, axis=1)
     times = np.diff(np.append(heads, len(keys)))
-    shared = np.repeat(times > 1, times)
-    which = np.repeat(np.arange(len(heads)), times)[shared]
-    keys, blocks = keys[shared], blocks[shared]
-    order = np.argsort(blocks, kind="stable")  # within a block, keys stay in order
-    keys, which, blocks = keys[order], which[order], blocks[order]
-    at = np.searchsorted(blocks, np.arange(len(df) + 1))
-    names = df["block"].to_numpy()
-    rows = [(kind, at_slice, int(names[i]), pack(keys[a:b], sums[:, which[a:b]]), 0, 0, 0) for i, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+    which = np.empty(len(keys), dtype=np.int64)
+    which[order] = np.repeat(np.arange(len(heads)), times)
+    rows = []
+    for block, a, b in zip(df["block"].tolist(), edges, edges[1:]):
+        own = which[a:b]
+        shared = times[own] > 1
+        if shared.any():
+            rows.append((kind, at_slice, block, pack_some(shared, sums[:, own[shared]]), 0, 0, 0))
     if kind == _WORDS:
         rows.append((kind, at_slice, _TOTALS, b"", *sums.sum(axis=1).tolist(), len(heads)))
     return pd.DataFrame(rows, columns=["kind", "slice", "block", "counts", "t", "n", "kinds"])
@@ -231,15 +255,16 @@ def _read(folder: str, block: int) -> pd.DataFrame | None:
     return pq.read_table(base, filesystem=store, partitioning=None, use_threads=False).to_pandas()
 
 
-def _score(folder: str, totals: np.ndarray, kinds: int) -> Callable:
+def _score(folder: str, slices: int, totals: np.ndarray, kinds: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at_block, df in _whole_blocks(batches):
             block = Block(df["_text"].tolist(), df["target"].to_numpy())
             found = _read(folder, at_block)
-            for kind, blob in () if found is None else zip(found["kind"], found["counts"], strict=True):
-                keys, counts = unpack(blob)
-                own, into = (block.words, block.word_counts) if kind == _WORDS else (block.pairs, block.pair_counts)
-                into[:, np.searchsorted(own, keys)] = counts
+            begin = {kind: _cuts(keys, slices) for kind, keys, _ in block.keyed()}
+            for kind, k, blob in () if found is None else zip(found["kind"], found["slice"], found["counts"], strict=True):
+                at, counts = unpack_some(blob)
+                into = block.word_counts if kind == _WORDS else block.pair_counts
+                into[:, begin[kind][k] + at] = counts
             t, n = block.losses(totals, kinds)
             yield pd.DataFrame({"_row": df["_row"].to_numpy(), "n_tokens": block.size, "target_bits": t, "background_bits": n})
 
@@ -256,8 +281,8 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     occurs again is known to the models, and one that does not is not known from itself.
 
     Documents are dealt to blocks of bounded size, which count their words and pairs. Counts travel as compressed
-    slices of the sorted keys; each slice is summed over the blocks in a task, and every block gets back the sums of
-    those of its keys that another block has too. So a task holds the part of the models that its block uses, a
+    slices of the sorted keys; each slice is summed over the blocks in a task, and every block gets back which of its keys
+    another block has too, with their sums. So a task holds the part of the models that its block uses, a
     frequent word or pair is one entry per block, and the driver gets one row of totals.
 
     Null and empty texts have no tokens and all values 0. Without targets the target model is uniform over the
@@ -281,5 +306,5 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     merged.write.option("compression", "none").partitionBy("block").parquet(folder)
     sums = spark.read.schema(_MERGED).parquet(folder).filter(F.col("block") == _TOTALS).agg(F.sum("t"), F.sum("n"), F.sum("kinds")).first()
     totals, kinds = np.array([sums[0] or 0, sums[1] or 0], dtype=np.int64), sums[2] or 0
-    out = texts.select("_row", "_text", "target", "block").mapInPandas(_score(folder, totals, kinds), "_row string, n_tokens long, target_bits double, background_bits double")
+    out = texts.select("_row", "_text", "target", "block").mapInPandas(_score(folder, slices, totals, kinds), "_row string, n_tokens long, target_bits double, background_bits double")
     return out.select(F.col("_row").cast(kind).alias(id_col), "n_tokens", "target_bits", "background_bits", (F.col("target_bits") - F.col("background_bits")).alias("score"))
