@@ -200,6 +200,9 @@ _LEX = re.compile(
     r"|(?P<punct>=>|\?\.|\.\.\.|[\s\S])"
 )
 _REGEX = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/\w*")
+#: What a brace follows that opens an object literal, and words that look like a method where it is a block after all.
+_BEFORE_OBJECT = frozenset("= ( , : [ ? & | return".split())
+_NO_METHOD = frozenset("if for while switch catch with function return do else try finally class".split())
 _BEFORE_REGEX = frozenset("return typeof case in of delete void throw new do else await yield instanceof".split())
 
 
@@ -333,12 +336,21 @@ class TypeScript:
             spoken += self.text[self.t[close + 1].start : self.t[end - 1].end]
         return collapse(spoken), self.after(end)
 
-    def methods(self, a: int, b: int) -> Iterator[Symbol]:
-        """Methods with a body among the members between a and b."""
+    def methods(self, a: int, b: int) -> list[Symbol]:
+        """Methods with a body among the members of a class between a and b, and those of the object literals inside it,
+        in order."""
+        found = list(self.members(a, b))
+        for i in range(a, b):
+            if self.at(i) == "{" and self.at(i - 1) in _BEFORE_OBJECT and self.t[i].kind == "punct":
+                found += ((k, s) for k, s in self.members(i + 1, self.pair.get(i, i)) if s.name not in _NO_METHOD)
+        return [s for _, s in sorted(found, key=lambda x: x[0])]
+
+    def members(self, a: int, b: int) -> Iterator[tuple[int, Symbol]]:
+        """(place, method) of the methods with a body between a and b, at that level."""
         i, begin = a, a
         while i < b:
             x = self.t[i]
-            if x.text in (";", "}") or (x.text == "@" or x.text.startswith("@")):
+            if x.text in (";", "}", ",") or (x.text == "@" or x.text.startswith("@")):
                 i += 1
                 if x.text.startswith("@"):  # a decorator with its arguments
                     while self.at(i) == ".":
@@ -353,7 +365,7 @@ class TypeScript:
                 if found:
                     words = [w.text for w in self.t[begin:name]]
                     if x.text != "constructor":
-                        yield Symbol(x.text, "method", found[0], self.t[begin].line, self.line_of_end(found[1] - 1), False, "async" in words, self.has_try(begin, found[1]))
+                        yield begin, Symbol(x.text, "method", found[0], self.t[begin].line, self.line_of_end(found[1] - 1), False, "async" in words, self.has_try(begin, found[1]))
                     i = begin = found[1]
                     continue
             if x.text in ("=", ":"):  # a property: skip its value or type

@@ -161,11 +161,11 @@ def match(postings: DataFrame, lengths: DataFrame, text: str, columns: tuple[str
         return none
     hits = phrase_hits(postings, query)
     every = range(len(query.phrases))
-    counts = hits.groupBy("id").agg(*[F.count(F.when(F.col("phrase") == k, 1)).alias(f"d{k}") for k in every])
-    stats = counts.agg(*[F.count(F.when(F.col(f"d{k}") > 0, 1)).alias(f"n{k}") for k in every])
-    groups = _near_groups(query.root)
-    inside = _near_filter(hits, query, groups) if groups else hits
-    rows = inside.groupBy("id").agg(*[F.count(F.when(F.col("phrase") == k, 1)).alias(f"f{k}") for k in every]).filter(_holds(query.root))
+    counted = lambda h: h.groupBy("id").agg(*[F.count(F.when(F.col("phrase") == k, 1)).alias(f"f{k}") for k in every])
+    counts, groups = counted(hits), _near_groups(query.root)
+    stats = counts.agg(*[F.count(F.when(F.col(f"f{k}") > 0, 1)).alias(f"n{k}") for k in every])
+    # without a NEAR group both uses of the counts share one exchange
+    rows = (counted(_near_filter(hits, query, groups)) if groups else counts).filter(_holds(query.root))
     corpus = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
     rows = rows.join(lengths, "id").crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(corpus))  # one row each
     score = F.lit(0.0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import dml, fts, graph, memory, parse, tokens
 from ..sources import scan
+from ..sources.store import shared_folder
 from . import dashboards, tools
 from .views import TOOL_OF_EVENT, Views
 
@@ -44,7 +45,7 @@ _FILES = f"""files AS (SELECT doc_id AS id, {_PATH} AS path, lang AS language, m
 
 
 def _search(v: Views, text: str, limit: int = 20) -> DataFrame:
-    p, n = fts.build_index(v.texts, ("content",), diacritics=False)
+    p, n = v.text_index()
     top = fts.search(p, n, text, ("content",), limit)
     # the few best rows fetch their text
     return top.join(v.texts, "id").select("id", "path", scalars.preview(F.col("content")).alias("preview"), F.round("score", 6).alias("score"))
@@ -137,13 +138,13 @@ def search_docs_near(v):
     )
 )
 def search_docs_folded(v):
-    p, n = fts.build_index(v.texts, ("content",))
+    p, n = v.text_index(diacritics=True)
     return fts.search(p, n, "etaient OR fur OR cion", ("content",)).select("id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT doc_id AS id, 0.0 AS score FROM documents WHERE false")
 def search_docs_syntax_error(v):
-    p, n = fts.build_index(v.texts, ("content",), diacritics=False)
+    p, n = v.text_index()
     return fts.search(p, n, "GET /users", ("content",)).select("id", F.round("score", 6).alias("score"))
 
 
@@ -181,7 +182,7 @@ SELECT type, id, round(score, 6) AS score FROM (
 def search_docs_quota_union(v):
     p = tools.Project(v.spark, {"documents": v.texts.withColumns({"file_id": F.col("id"), "chunk_index": F.lit(0), "heading": F.lit(None).cast("string"), "start_line": F.lit(1), "end_line": F.lit(1), "summary": F.lit(None).cast("string")}), "files": v.files, "context_entries": v.context.withColumn("created_at", F.lit(None).cast("timestamp"))})
     for name, df, columns in (("documents", v.texts, tools.DOCUMENT_COLUMNS), ("context_entries", v.context, tools.CONTEXT_COLUMNS)):
-        p._indexes[name] = fts.build_index(df, ("content",) if name == "documents" else ("content", "tags"), diacritics=False)
+        p._indexes[name] = v.text_index() if name == "documents" else fts.build_index(df, columns, diacritics=False)
     return p.call("search_docs", query="from", limit=20).select("type", "id", F.round("score", 6).alias("score"))
 
 
@@ -191,7 +192,7 @@ def search_docs_quota_union(v):
 )
 def federated_search_topk(v):
     """Each project's best five with the corpus-wide statistics, primary first."""
-    p, n = fts.build_index(v.texts, ("content",), diacritics=False)
+    p, n = v.text_index()
     hits = fts.match(p, n, "with", ("content",)).join(v.texts.filter(F.col("project").isin("src1", "src2", "src3")).select("id", "project"), "id")
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("project").orderBy("score", "id"))).filter("rank <= 5").select("project", "rank", "id")
 
@@ -514,10 +515,49 @@ def thrash_window(v):
     return memory.change_windows(e, 360, types).filter("recent >= 2").select("session_id", "id", "recent")
 
 
-@query()
+_HOT = "hot AS (SELECT user_id, event_type, ts, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL 12 HOURS PRECEDING AND CURRENT ROW) AS n FROM events QUALIFY n >= 2)"
+_REPORTS = f"""WITH RECURSIVE {_HOT},
+r AS (SELECT user_id, event_type, min(ts) AS ts FROM hot GROUP BY ALL
+ UNION ALL SELECT h.user_id, h.event_type, min(h.ts) AS ts FROM r JOIN hot h ON h.user_id = r.user_id AND h.event_type = r.event_type AND h.ts >= r.ts + INTERVAL 12 HOURS GROUP BY ALL)
+SELECT DISTINCT {{}}, CAST(n AS {{}}) AS change_count, {_STAMP('r.ts')} AS timestamp FROM r JOIN hot USING (user_id, event_type, ts)"""
+
+
+@query(_REPORTS.format("user_id AS session_id, event_type AS file_path", "VARCHAR"))
 def thrash_suppression(v):
     e = v.events.withColumns({"file_path": F.col("event_type"), "symbol_name": F.lit(None).cast("string")})
-    return memory.thrashing(e, 2, 720, ("view", "signup", "click", "error", "purchase")).select("session_id", "file_path", "timestamp", F.col("extra")["change_count"].alias("change_count"))
+    found = memory.thrashing(e, 2, 720, ("view", "signup", "click", "error", "purchase"))
+    return found.select("session_id", "file_path", stamp("timestamp").alias("timestamp"), F.col("extra")["change_count"].alias("change_count"))
+
+
+@query(_REPORTS.format("CAST(user_id AS VARCHAR) AS session_id, event_type AS file_path", "BIGINT"))
+def stream_thrashing(v):
+    from ..streaming import events as streams
+
+    def shape(rows):
+        return rows.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("file_path"), F.lit("sig_changed").alias("event_type"), F.col("ts").cast("timestamp").alias("timestamp"))
+
+    def thrashing(rows):
+        return streams.thrashing(rows, 2, 720)
+
+    return _stream(v, shape, thrashing).select("session_id", "file_path", "change_count", stamp("timestamp").alias("timestamp"))
+
+
+@query(
+    f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, json_extract_string(props, '$.k') AS k, event_type, ts, event_id FROM events WHERE event_type IN ('signup', 'error')),
+a AS (SELECT user_id, k, min((ts, event_id)) AS added FROM e WHERE event_type = 'signup' GROUP BY ALL),
+r AS (SELECT e.user_id, e.k, min((e.ts, e.event_id)) AS removed FROM e JOIN a ON e.user_id = a.user_id AND e.k = a.k WHERE event_type = 'error' AND (e.ts, e.event_id) > a.added GROUP BY ALL)
+SELECT user_id AS session_id, k AS file_path, {_STAMP('removed[1]')} AS timestamp FROM r"""
+)
+def stream_dead_ends(v):
+    from ..streaming import events as streams
+
+    def shape(rows):
+        kind = F.when(F.col("event_type") == "signup", "symbol_added").when(F.col("event_type") == "error", "symbol_removed").otherwise("other")
+        return rows.select(
+            F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("session_id"), F.get_json_object("props", "$.k").alias("file_path"), F.lit("s").alias("symbol_name"), kind.alias("event_type"), F.col("ts").cast("timestamp").alias("timestamp")
+        )
+
+    return _stream(v, shape, streams.dead_ends).select("session_id", "file_path", stamp("timestamp").alias("timestamp"))
 
 
 @query(
@@ -686,13 +726,12 @@ def keyed_counters(v):
 
 
 def _stream(v: Views, shape, run) -> DataFrame:
-    """Run a stream over the events file to its end, into a table in memory."""
-    raw = v.raw("events")
-    rows = v.spark.readStream.schema(raw.schema).parquet(f"{v.dir}/events.parquet*")
-    name = f"stream_{abs(hash((v.dir, run.__name__))) % 10**9}"
-    q = run(shape(rows)).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return v.spark.table(name)
+    """Run a stream over the events file to its end, into files of the shared folder."""
+    raw, folder = v.raw("events"), shared_folder(v.spark)
+    found = run(shape(v.spark.readStream.schema(raw.schema).parquet(f"{v.dir}/events.parquet*")))
+    sink = found.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.schema(found.schema).parquet(f"{folder}/rows")
 
 
 @query(

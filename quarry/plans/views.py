@@ -6,16 +6,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import parse, tokens
+from ..operators import fts, parse, tokens
+from ..sources.store import shared_folder
 
 #: Multipliers by kind of event stand for those by tool.
 TOOL_OF_EVENT = {"click": "get_symbol", "view": "search_symbols", "purchase": "get_context", "signup": "get_file_summary", "logout": "start_comparison"}
 
 
+_saved: dict[tuple, str] = {}
+
+
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    def text_index(self, diacritics: bool = False) -> tuple[DataFrame, DataFrame]:
+        """(postings, lengths) of all texts: saved once per session in the order of its terms, then read with only the
+        row groups that hold a query's terms."""
+        key = (self.spark.sparkContext.applicationId, self.dir, diacritics)
+        if key not in _saved:
+            path = f"{shared_folder(self.spark)}/texts"
+            fts.save_index(*fts.build_index(self.texts, ("content",), diacritics=diacritics), path)
+            _saved[key] = path
+        return fts.load_index(self.spark, _saved[key])
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators import memory
+from ..schema import CHANGE_EVENTS
 from ..sources import scan
 
 # --- fixed values: debounce per path
@@ -96,6 +97,51 @@ def running_totals(log: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").applyInPandasWithState(_total, schema, "used long, without_index long", "append", GroupStateTimeout.NoTimeout)
 
 
+_DEAD_END = "session_id string, file_path string, symbol_name string, timestamp timestamp"
+
+
+def _dead_end(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    added, done = state.get if state.exists else (False, False)
+    out = []
+    for row in pd.concat(batches, ignore_index=True).sort_values(["timestamp", "id"]).itertuples(index=False):
+        if row.event_type == "symbol_removed" and added and not done:
+            done = True
+            out.append((*key, row.timestamp))
+        added = added or row.event_type == "symbol_added"
+    state.update((added, done))
+    yield pd.DataFrame(out, columns=["session_id", "file_path", "symbol_name", "timestamp"])
+
+
+def dead_ends(events: DataFrame) -> DataFrame:
+    """The first removal of a symbol that the session had added, once per session, file and symbol. State is two marks."""
+    rows = events.filter(F.col("event_type").isin("symbol_added", "symbol_removed")).select("id", "session_id", "file_path", "symbol_name", "event_type", "timestamp")
+    return rows.groupBy("session_id", "file_path", "symbol_name").applyInPandasWithState(_dead_end, _DEAD_END, "added boolean, done boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def thrashing(events: DataFrame, least: int = memory.THRASH_EVENTS, minutes: int = memory.THRASH_MINUTES, types: tuple[str, ...] = CHANGE_EVENTS) -> DataFrame:
+    """Bursts of changes to a file of a session; after one is reported the next waits for ``minutes``. State is the
+    changes of the last minutes and the last report."""
+    span = minutes * 60_000_000
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        recent, last = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
+        rows = pd.concat(batches, ignore_index=True).sort_values(["at", "id"])
+        times = [*recent, *rows["at"].tolist()]
+        out = []
+        for at in rows["at"].drop_duplicates().tolist():
+            n = sum(at - span <= t <= at for t in times)
+            if n >= least and (last is None or at - last >= span):
+                last = at
+                out.append((*key, n, pd.Timestamp(at, unit="us")))
+        newest = max(times)
+        state.update(([t for t in times if t >= newest - span], last))
+        yield pd.DataFrame(out, columns=["session_id", "file_path", "change_count", "timestamp"])
+
+    rows = events.filter(F.col("event_type").isin(*types)).select("id", "session_id", "file_path", F.unix_micros("timestamp").alias("at"))
+    shape = "session_id string, file_path string, change_count long, timestamp timestamp"
+    return rows.groupBy("session_id", "file_path").applyInPandasWithState(run, shape, "recent array<long>, last long", "append", GroupStateTimeout.NoTimeout)
+
+
 def push(rows: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Give every micro-batch to a callable: the place of a socket push."""
     return rows.writeStream.outputMode(mode).foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
