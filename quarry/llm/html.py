@@ -218,13 +218,20 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _tree(df: pd.DataFrame) -> pd.DataFrame:
-    """One site: composite importance of every node, from the leaves up; returns the low ones."""
+    """One site: composite importance of every node, from the leaves up; returns the low ones. Nodes are those of two
+    pages at least; ``pinned`` ones have a child on one page only, which is of importance 1, and so are they."""
     own: dict[str, float] = {}
     shown: dict[str, float] = {}
     pages: dict[str, int] = {}
-    for path, content, value, m in df[["path", "content", "value", "m"]].itertuples(index=False):
-        (own if content else shown)[path] = value
-        pages[path] = max(pages.get(path, 0), int(m))
+    pinned: set[str] = set()
+    for path, content, inner, m, pin in df[["path", "own", "shown", "m", "pinned"]].itertuples(index=False):
+        pages[path] = int(m)
+        if content == content:
+            own[path] = content
+        if inner == inner:
+            shown[path] = inner
+        if pin:
+            pinned.add(path)
     below: dict[str, list[str]] = {}
     for path in pages:
         if path:
@@ -239,7 +246,7 @@ def _tree(df: pd.DataFrame) -> pd.DataFrame:
             keep = _GAMMA ** len(kids)
             parts.append((1 - keep) * shown.get(path, 0.0) + keep * (sum(kids) / len(kids)))
             parts[-1] = max(parts[-1], max(kids))  # a branch is not removed above an important child
-        whole[path] = max(parts) if parts else shown.get(path, 1.0)
+        whole[path] = 1.0 if path in pinned else max(parts) if parts else shown.get(path, 1.0)
     low = [p for p, v in whole.items() if p and v < LEAST_IMPORTANCE and pages[p] >= LEAST_PAGES]
     return pd.DataFrame({"host": df["host"].iloc[0], "paths": [sorted(low)]}) if low else pd.DataFrame({"host": [], "paths": []}, dtype=object)
 
@@ -249,7 +256,8 @@ def site_style(pages: DataFrame) -> DataFrame:
 
     Content nodes: 1 minus the mean, over their texts, of log(pages that show the text) / log(pages that have the
     node). Inner nodes: entropy of their child sequences to the base of their pages, blended with their children.
-    Pages of equal text count once, so copies of one page do not make its text look like a template.
+    Pages of equal text count once, so copies of one page do not make its text look like a template. Nodes of one page
+    are settled before a host is put together: a task holds the paths that two pages of a host share.
     """
     feats = pages.mapInPandas(_features, "host string, page long, path string, content boolean, feature long").distinct()
     feats = cut(feats, "features")
@@ -263,6 +271,10 @@ def site_style(pages: DataFrame) -> DataFrame:
         F.col("content"), F.lit(1.0) - F.col("logs") / F.col("kinds") / log_m
     ).otherwise((F.log(F.col("all").cast("double")) - F.col("klogk") / F.col("all")) / log_m)
     nodes = agg.join(m, ["host", "path", "content"]).select("host", "path", "content", "m", value.alias("value"))
+    of = lambda c: F.max(F.when(c, F.col("value")))
+    nodes = nodes.groupBy("host", "path").agg(of(F.col("content")).alias("own"), of(~F.col("content")).alias("shown"), F.max("m").alias("m"))
+    once = nodes.filter("m <= 1").select("host", F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct().withColumn("pinned", F.lit(True))
+    nodes = nodes.filter("m > 1").join(once, ["host", "path"], "left").na.fill(False, ["pinned"])
     return nodes.groupBy("host").applyInPandas(_tree, "host string, paths array<string>")
 
 
