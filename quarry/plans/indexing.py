@@ -37,22 +37,27 @@ def summarised(files: DataFrame, summarise: Callable[[str, str], str | None] | N
     return files.join(found, "path", "left")
 
 
-def index_files(tables: dict[str, DataFrame], scanned: DataFrame, whole: bool = True, force: bool = False, summarise=None, session_id: str | None = None):
+def index_files(
+    tables: dict[str, DataFrame], scanned: DataFrame, whole: bool = True, force: bool = False, summarise=None, session_id: str | None = None, held: list[DataFrame] | None = None
+) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables, status): the tables after indexing the scanned files (path, content). Unchanged files are skipped by hash;
     with ``whole``, files that the scan lacks are deleted. Only changed files are parsed; the imports of all files are kept
-    in a table, and edges are resolved from it for the whole project at once. With a session, changes of symbols become events and make older observations stale."""
+    in a table, and edges are resolved from it for the whole project at once. What is persisted on the way is added to ``held``, to be
+    released when the tables are written. With a session, changes of symbols become events and make older observations stale."""
     rows = parse.changed_files(parse.file_rows(scanned), tables["files"])
     rows = rows.withColumn("status", F.when((F.col("status") == "skipped") & F.lit(force), "updated").otherwise(F.col("status"))).persist()
-    todo = summarised(rows.filter("status <> 'skipped'"), summarise)
+    todo = summarised(rows.filter("status <> 'skipped'"), summarise).persist()
     out = dict(tables)
     if whole:
         out = dml.delete_files(out, dml.vanished(out["files"], rows))
     new_files = todo.select("path", "language", "summary", F.current_timestamp().alias("last_indexed"), "hash", "raw_token_estimate")
-    out["files"] = dml.merge(out["files"], new_files, "files")
+    out["files"] = dml.merge(out["files"], new_files, "files").persist()
     # parsed once: symbols and imports of changed files, and of all scanned files where no imports were kept before
     had = "imports" in tables and (tables["imports"].limit(1).count() > 0 or tables["files"].limit(1).count() == 0)
     code = (todo if had else rows).filter(~scalars.is_document_language(F.col("language")))
     parsed = parse.parse(code).persist()
+    if held is not None:
+        held += [rows, todo, out["files"], parsed]
     ids = out["files"].select("path", F.col("id").alias("file_id"))
     touched = todo.select("path")
     found = parse.symbols(parsed.join(touched, "path", "left_semi"))
@@ -96,7 +101,10 @@ def index_project(store: Store, scanned: DataFrame, **options) -> DataFrame:
     from ..schema import TABLES
 
     tables = {t: store.table(t) for t in TABLES}
-    out, status = index_files(tables, scanned, **options)
+    held: list[DataFrame] = []
+    out, status = index_files(tables, scanned, held=held, **options)
     status = status.sparkSession.createDataFrame(status.collect(), "status string, n long")
     store.commit(**{t: df for t, df in out.items() if df is not tables[t]})
+    for df in held:
+        df.unpersist()
     return status

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -417,6 +420,55 @@ def index_twice(v):
     return out.unionByName(row(status, "status", F.col("status"), null, null, F.col("n")))
 
 
+@index_query(
+    """SELECT * FROM (VALUES ('whole', 'a.ts', 'One'), ('whole', 'b.ts', 'Two'), ('one file', 'a.ts', 'Three'), ('one file', 'b.ts', 'Two'), ('again', 'a.ts', 'Three'), ('found', 'a.ts', 'Three'),
+('status', 'indexed', '3'), ('status one file', 'updated', '1')) t(step, path, name)"""
+)
+def tool_reindex(v):
+    """The tool over a tree: whole, then one changed file while another has changed too, then again without the other."""
+    root = f"{shared_folder(v.spark)}/tree"
+    write = lambda path, text: scan.write_text(v.spark, f"{root}/{path}", text)
+    write("a.ts", "export class One {}\n")
+    write("b.ts", "export class Two {}\n")
+    write("notes.txt", "some notes\n")
+    p = tools.Project(v.spark, {t: schema.empty(v.spark, t) for t in schema.TABLES}, root=root)
+    out: list[tuple] = []
+
+    def keep(step):
+        rows = p["symbols"].join(p["files"].select(F.col("id").alias("file_id"), "path"), "file_id").select("path", "name").collect()
+        out.extend((step, r.path, r.name) for r in rows)
+
+    out += [("status", r.status, str(r.n)) for r in p.call("reindex").collect()]
+    keep("whole")
+    p.index("symbols", tools.SYMBOL_COLUMNS)
+    write("a.ts", "export class Three {}\n")
+    write("b.ts", "export class Unseen {}\n")
+    out += [("status one file", r.status, str(r.n)) for r in p.call("reindex", target="a.ts").collect()]
+    keep("one file")
+    out += [("found", r.file, r.name) for r in p.call("search_symbols", query="three OR one").collect()]
+    scan.remove(v.spark, f"{root}/b.ts")
+    p.call("reindex")
+    keep("again")
+    return v.spark.createDataFrame(out, "step string, path string, name string")
+
+
+@index_query("SELECT * FROM (VALUES ('below a marker', 'top'), ('at a marker', 'top'), ('additional', 'node_modules/kept.ts'), ('additional', 'x.ts'), ('globs', 'ts tsx js mjs cjs jsx py')) t(what, value)")
+def project_places(v):
+    """The root is the nearest folder with a marker; ignored files come when they are named; globs are distinct."""
+    with tempfile.TemporaryDirectory() as top:  # the driver looks for its own project only
+        os.makedirs(f"{top}/src/deep")
+        open(f"{top}/package.json", "w").close()
+        name = lambda start: "top" if scan.project_root(start) == os.path.abspath(top) else "other"
+        out = [("below a marker", name(f"{top}/src/deep")), ("at a marker", name(top))]
+    root = f"{shared_folder(v.spark)}/more"
+    for path in ("x.ts", "node_modules/kept.ts", "node_modules/other.ts"):
+        scan.write_text(v.spark, f"{root}/{path}", "export class A {}\n")
+    files = scan.scan_project(v.spark, root, extra=["node_modules/kept.ts", "missing.ts"])
+    out.append(("globs", " ".join(scan.code_extensions(("typescript", "javascript", "python", "typescript")))))
+    fixed = v.spark.createDataFrame(out, "what string, value string")
+    return fixed.unionByName(files.select(F.lit("additional").alias("what"), F.col("path").alias("value")))
+
+
 @index_query(f"WITH {_XS}, g AS (SELECT file_id, name, max(id) AS id FROM xs GROUP BY ALL) SELECT CAST(xs.file_id AS VARCHAR) AS file_path, xs.name AS symbol_name, kind, signature, substr(md5(trim(signature)), 1, 8) AS signature_hash FROM xs JOIN g USING (id)")
 def snapshot_last_wins(v):
     rows = v.tables()["symbols"].select(F.col("file_id").cast("string").alias("path"), "name", "kind", "signature", F.col("id").alias("ord"))

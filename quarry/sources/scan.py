@@ -92,6 +92,11 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _file(spark, path)
+    fs.delete(p, True)
+
+
 def named_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
     """(path, length, modified, content) of the named files of a tree, and of no others; a missing file has no row."""
     found = []
