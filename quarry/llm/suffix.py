@@ -15,6 +15,8 @@ from .common import PrefixHash, bounded_batches, chunks, cut, mix, small, with_r
 #: Bytes of text whose suffixes are sorted at once.
 SHARD_BYTES = 1 << 20
 _PIECE = 1 << 20
+#: A group of equal regions with more than one in so many of all regions is handed out by broadcast.
+HOT = 10_000
 _BIG = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: A region is packed into one number: start, size and the anchor's place in it, the last two in so many bits.
 _BITS = 13
@@ -483,8 +485,8 @@ def repeated_spans(
     """(_id, _t, s, e): byte ranges of the texts that are covered by ``length``-byte strings that start elsewhere too.
 
     1. Anchors: each window's least-hashed gram. Regions around anchors whose gram occurs once hold no repeat.
-    2. Equal regions are counted (a hot group of copies is pre-aggregated); they are repeated as a whole, and one of
-       them stands for all.
+    2. Equal regions (of equal gram, shape and content by two 64-bit hashes) are counted, so that a hot group of copies
+       is pre-aggregated; they are repeated as a whole, and one of them stands for all.
     3. Regions that differ but share their gram go, ordered by gram, into shards whose suffix arrays (Larsson-Sadakane)
        and common prefixes (Kasai) tell which windows repeat; shards of one gram are merged by binary search.
     4. A gram with more than ``common`` different regions would fill one task: its regions are salted over several
@@ -496,7 +498,12 @@ def repeated_spans(
     alike = anchors.groupBy("key", "same").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_t", "loc")).alias("at"))
     keys = alike.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).filter("all > 1")
     alike = cut(alike.join(keys, "key"), "alike")
-    copies = anchors.join(alike.filter("n > 1").select("key", "same"), ["key", "same"])
+    # groups with over a HOT-th of all regions, fewer than HOT of them, are broadcast: none of their rows is shuffled
+    every = alike.agg(F.sum("n")).first()[0] or 0
+    same, hot = ["key", "same"], F.col("n") * HOT > F.lit(every)
+    common_ones = F.broadcast(alike.filter(hot & (F.col("n") > 1)).select(*same))
+    others = alike.filter(~hot & (F.col("n") > 1)).select(*same)
+    copies = anchors.join(common_ones, same).unionByName(anchors.join(common_ones, same, "left_anti").join(others, same))
     size = F.shiftright("loc", _BITS).bitwiseAND((1 << _BITS) - 1)
     start = F.shiftright("loc", 2 * _BITS)
     whole = copies.select("_id", "_t", start.alias("s"), (start + size).alias("e"))
