@@ -16,28 +16,35 @@ def word_count(c: Column) -> Column:
     return (n - (F.element_at(parts, 1) == "").cast("int") - ((n > 1) & (F.element_at(parts, -1) == "")).cast("int")).cast("long")
 
 
+def _running(t: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """t with running sums (name -> expression) over the rows before each in the order. Rows are dealt to ranges of the
+    order and summed inside each; what lies before a range is one row per range."""
+    t = cut(t.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    parts = t.groupBy("_part").agg(*[F.sum(F.expr(x)).alias(f"_{n}") for n, x in sums.items()])
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = F.broadcast(parts.select("_part", *[F.coalesce(F.sum(f"_{n}").over(ahead), F.lit(0)).alias(f"_{n}") for n in sums]))  # one row per range
+    before = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    t = t.join(parts, "_part").withColumns({n: F.coalesce(F.sum(F.expr(x)).over(before), F.lit(0)) + F.col(f"_{n}") for n, x in sums.items()})
+    return t.drop("_part", *[f"_{n}" for n in sums])
+
+
 def source_targets(sizes: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """sizes (source, source_size) -> with w and target. Weights repeat over the sources by code point, null last.
 
     A source's target is its weighted share of ``share`` times all sizes, but at most ``most`` times its own size; the
     excess is dealt again by weight. Sources are taken by rising cap per weight: the capped ones are a prefix of that
-    order, so two running sums give every level at once. The table has one row per source."""
-    order = Window.orderBy(F.col("source").isNull(), F.col("source"))
-    byratio = Window.orderBy("ratio", F.col("source").isNull(), "source")
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    t = sizes.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("w"))
-    before = byratio.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    t = t.withColumns(
-        {
-            "cap_before": F.coalesce(F.sum("cap").over(before), F.lit(0.0)),
-            "w_left": F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)),
-            "whole": F.sum("source_size").over(every) * F.lit(float(share)),
-        }
-    ).withColumn("level", (F.col("whole") - F.col("cap_before")) / F.col("w_left"))
+    order, so two running sums give every level at once. The table has one row per source, and no task holds it whole."""
+    name = [F.col("source").isNull(), F.col("source")]
+    t = _running(sizes, name, {"at": "1"})
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod("at", F.lit(len(weights))) + 1).cast("int"))
+    t = t.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("w"))
+    t = cut(_running(t, [F.col("ratio"), *name], {"cap_before": "cap", "w_before": "w"}), "sources")
+    every = F.broadcast(t.agg(F.sum("w").alias("w_all"), (F.sum("source_size") * F.lit(float(share))).alias("whole")))  # one row
+    level = (F.col("whole") - F.col("cap_before")) / (F.col("w_all") - F.col("w_before"))
     # the water level is that of the first source whose cap is above it
-    level = F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "level"))).over(every)["level"]
-    return t.withColumn("_level", level).select(
+    above = t.crossJoin(every).withColumn("level", level).filter("ratio > level").agg(F.min(F.struct("ratio", "level"))["level"].alias("_level"))
+    t = t.crossJoin(F.broadcast(above))  # one row
+    return t.select(
         "source", "source_size", F.when(F.col("_level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("_level") * F.col("w"))).alias("target")
     )
 
@@ -54,7 +61,8 @@ def mix_sources(
     bucket is taken if that brings the sum nearer. No row is sorted, and a rerun takes the same documents.
 
     Null text has size 0; null is a source of its own, the last. Rows that repeat id and size share their hash and are
-    taken together. An empty table gives no rows; extra columns are ignored.
+    taken together. Texts of any length are counted whole. An empty table gives no rows; extra columns are ignored,
+    whatever their names.
     """
     size = word_count(F.col(text_col))
     name = F.md5(F.concat_ws("|", F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("size").cast("string")))
