@@ -37,7 +37,9 @@ def decontaminate(
     which no whole window fits, and the rest are verified word by word over the item's length.
 
     Null texts have no words and repeat nothing; a null item id marks words but is not listed. Documents that repeat
-    id and text share their row's values; an empty benchmark gives n_hit 0 everywhere. Extra columns are ignored.
+    id and text share their row's values; an empty benchmark gives n_hit 0 everywhere, no documents no rows. Of shingles that
+    are equally rare in a window the first by hash is its prefix, which changes no result. Texts of any length are read
+    whole. Extra columns are ignored, whatever their names.
     """
     return _marked(docs, benchmark, id_col, text_col, item_col, item_text_col, window, share).drop("_id", "_t")
 

@@ -312,7 +312,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """One row per input row: id, url, text (blocks joined by newline, empty if none), n_chars (code points).
 
     Null html is empty; pages without a url are one site; repeated rows give equal texts; an empty table gives no
-    rows; extra columns are ignored. Very long pages are parsed whole.
+    rows; extra columns are ignored, whatever their names. Very long pages are parsed whole.
     """
     bounded_batches(pages.sparkSession)
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url_col)), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))

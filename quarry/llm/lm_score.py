@@ -148,8 +148,10 @@ class Block:
             every = (totals[m] - (self.size + 1) * mine)[self.doc]
             single = (word + ALPHA) / (every + ALPHA * kinds)
             p = np.where(before > 0, LAMBDA * pair / np.maximum(before, 1) + (1 - LAMBDA) * single, single)
-            ends = np.concatenate([[0.0], np.cumsum(-np.log2(p))])
-            out.append((ends[self.end] - ends[self.end - self.size]) / np.maximum(self.size, 1))
+            bits, full = np.zeros(len(self.size)), self.size > 0
+            if len(p):  # each text is summed by itself, wherever it stands in the block
+                bits[full] = np.add.reduceat(-np.log2(p), (self.end - self.size)[full])
+            out.append(bits / np.maximum(self.size, 1))
         return out
 
 

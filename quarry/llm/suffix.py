@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import PrefixHash, bounded_batches, chunks, cut, mix, small, with_row_key
@@ -478,6 +478,15 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([df[["_row"]].reset_index(drop=True), out], axis=1)
 
 
+def _by_group(rows: DataFrame, groups: DataFrame, on: list[str], size: Column) -> DataFrame:
+    """rows joined to their groups. Groups with over a HOT-th of the rows that all groups have, of which there are fewer
+    than HOT, are broadcast, so that none of their rows is shuffled."""
+    every = groups.agg(F.sum(size)).first()[0] or 0
+    hot = size * HOT > F.lit(every)
+    few = F.broadcast(groups.filter(hot))
+    return rows.join(few, on).unionByName(rows.join(few.select(*on), on, "left_anti").join(groups.filter(~hot), on))
+
+
 def repeated_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 128,
     shard_bytes: int = SHARD_BYTES, common: int = 4_000,
@@ -497,13 +506,10 @@ def repeated_spans(
     anchors = cut(base.mapInPandas(lambda b: _anchors(b, length, gram), "_id long, _t int, key long, same long, loc long"), "anchors")
     alike = anchors.groupBy("key", "same").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_id", "_t", "loc")).alias("at"))
     keys = alike.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all")).filter("all > 1")
-    alike = cut(alike.join(keys, "key"), "alike")
-    # groups with over a HOT-th of all regions, fewer than HOT of them, are broadcast: none of their rows is shuffled
-    every = alike.agg(F.sum("n")).first()[0] or 0
-    same, hot = ["key", "same"], F.col("n") * HOT > F.lit(every)
-    common_ones = F.broadcast(alike.filter(hot & (F.col("n") > 1)).select(*same))
-    others = alike.filter(~hot & (F.col("n") > 1)).select(*same)
-    copies = anchors.join(common_ones, same).unionByName(anchors.join(common_ones, same, "left_anti").join(others, same))
+    # as an expression the gram needs an exchange of its own after its aggregation; only joins right above exchanges are
+    # split where they are skewed, by a very common gram
+    alike = cut(alike.join(keys.withColumn("key", F.col("key") + F.lit(0)), "key"), "alike")
+    copies = _by_group(anchors, alike.filter("n > 1").select("key", "same", "n"), ["key", "same"], F.col("n"))
     size = F.shiftright("loc", _BITS).bitwiseAND((1 << _BITS) - 1)
     start = F.shiftright("loc", 2 * _BITS)
     whole = copies.select("_id", "_t", start.alias("s"), (start + size).alias("e"))
@@ -538,8 +544,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Each byte covered by a ``length``-byte string that also starts at another place (same document or not; overlaps
     count) is removed, as judged on the input. Matches never cross documents. Null and empty texts have no bytes;
-    rows that repeat an id and a text are two places and lose everything that is long enough; an empty table gives no
-    rows; extra columns are ignored.
+    rows that repeat an id and a text are two places and lose everything that is long enough; a text of any length is
+    read whole, in overlapping pieces; an empty table gives no rows; extra columns are ignored, whatever their names.
     """
     found = repeated_spans(docs, id_col, text_col, length, **options)
     spans = found.groupBy("_id", "_t").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
