@@ -431,7 +431,7 @@ def tool_reindex(v):
     write("a.ts", "export class One {}\n")
     write("b.ts", "export class Two {}\n")
     write("notes.txt", "some notes\n")
-    p = tools.Project(v.spark, {t: schema.empty(v.spark, t) for t in schema.TABLES}, root=root)
+    p = tools.Project.open(Store(v.spark, f"{shared_folder(v.spark)}/index"), root=root)
     out: list[tuple] = []
 
     def keep(step):

@@ -80,6 +80,7 @@ class Project:
     session_id: str = "default"
     baseline: bool = False
     federated: dict[str, Project] = field(default_factory=dict)
+    store: Store | None = None  # where reindexing commits to
     index_dir: str | None = None  # saved full-text indexes, one folder per table
     _indexes: dict = field(default_factory=dict)
 
@@ -87,7 +88,7 @@ class Project:
     def open(cls, store: Store, root: str = "", **more) -> Project:
         from ..schema import TABLES
 
-        return cls(store.spark, {t: store.table(t) for t in TABLES}, root=root, **more)
+        return cls(store.spark, {t: store.table(t) for t in TABLES}, root=root, **{"store": store} | more)
 
     def __getitem__(self, table: str) -> DataFrame:
         return self.tables[table]
@@ -383,7 +384,8 @@ def get_session_memory(p: Project, session_id: str | None = None, file: str | No
 
 
 def reindex(p: Project, target: str | None = None, languages=scan.DEFAULT_LANGUAGES, force: bool = True) -> DataFrame:
-    """Index the tree, or one file of it, into the project's tables: (status, n)."""
+    """Index the tree, or one file of it, into the project's tables: (status, n). A project that was opened from a store
+    commits them there."""
     from .indexing import index_files
 
     if target is None:
@@ -391,7 +393,15 @@ def reindex(p: Project, target: str | None = None, languages=scan.DEFAULT_LANGUA
     else:  # reads that file only
         files = scan.as_text(scan.within_size(scan.named_files(p.spark, p.root, [target]))).filter(~F.col("path").rlike(scan.IGNORE_PATTERN))
     before = {t: p[t] for t in ("symbols", "documents")}
-    tables, status = index_files(p.tables, files, whole=target is None, force=force)
+    held: list[DataFrame] = []
+    tables, status = index_files(p.tables, files, whole=target is None, force=force, held=held)
+    if p.store is not None:
+        status = p.spark.createDataFrame(status.collect(), "status string, n long")
+        changed = {t: df for t, df in tables.items() if df is not p.tables.get(t)}
+        p.store.commit(**changed)
+        tables = {t: p.store.table(t) for t in changed}
+        for df in held:
+            df.unpersist()
     p.tables.update(tables)
     p.refreshed("symbols", before["symbols"], SYMBOL_COLUMNS)
     p.refreshed("documents", before["documents"], DOCUMENT_COLUMNS)
