@@ -108,10 +108,11 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, js_round(part / whole * 1000) / 10).otherwise(F.lit(0.0))
 
 
-def short_number(c: Column) -> Column:
-    """Thousands as K and millions as M with one decimal."""
+def short_number(c: Column, millions: bool = True) -> Column:
+    """Thousands as K and millions as M with one decimal; without ``millions`` these are thousands too."""
     v = c.cast("double")
-    return F.when(v >= 1e6, F.format_string("%.1fM", v / 1e6)).when(v >= 1e3, F.format_string("%.1fK", v / 1e3)).otherwise(c.cast("string"))
+    small = F.when(v >= 1e3, F.format_string("%.1fK", v / 1e3)).otherwise(c.cast("string"))
+    return F.when(v >= 1e6, F.format_string("%.1fM", v / 1e6)).otherwise(small) if millions else small
 
 
 def duration_text(begin: Column, end: Column) -> Column:
