@@ -157,27 +157,27 @@ def _tile(threshold: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for every node of the edges (a, b): alternating large-star and small-star until nothing changes.
-    Minima are aggregated and joined back, so no neighbourhood is gathered in one task."""
+    """(node, comp) for every node of the edges (a, b): alternating large-star and small-star until only stars are left,
+    which is seen by one count per node. Minima are aggregated and joined back, so no neighbourhood is gathered in one
+    task. The joins are merges at every size: a hash table per join and round would pile up in the driver."""
     e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        joined = both.join(low, "u")
+        joined = both.hint("merge").join(low, "u")
         if large:  # neighbours above u point to the smallest of the neighbourhood
             return joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         moved = joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
-    state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    was = state(e)
-    while True:  # each round lowers labels until none changes
+    def settled(e: DataFrame) -> bool:
+        """Every node has one edge down or none, and no node has edges of both kinds."""
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("down")))
+        return not ends.groupBy("node").agg(F.sum("down").alias("n"), F.min("down").alias("least")).filter("n > least").limit(1).count()
+
+    while not settled(e):  # each round lowers labels
         e = cut(star(star(e, True), False), "edges")
-        now = state(e)
-        if now == was:
-            break
-        was = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
@@ -231,7 +231,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> Dat
     # buckets in which the stars left more than one component; equal buckets of several bands count once
     whole = met.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_ = whole.groupBy("band", "bh").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band", "bh")
-    rest = whole.join(open_, ["band", "bh"])
+    rest = cut(whole.join(open_, ["band", "bh"]), "open")
     once = rest.groupBy("who", "size").agg(F.min(F.struct("band", "bh")).alias("b")).select(F.col("b.band").alias("band"), F.col("b.bh").alias("bh"))
     rest = rest.join(once, ["band", "bh"]).withColumn(
         "parts", F.ceil(F.greatest(F.col("size") / F.lit(TILE // 2), F.col("mass") * 8 / F.lit(TILE_BYTES // 2))).cast("int")
@@ -242,7 +242,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: int) -> Dat
     two = tiles.groupBy("band", "bh", "p", "q").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").drop("lo", "hi")
     tiles = tiles.join(two, ["band", "bh", "p", "q"]).join(sig, "node").join(sets, "node")
     more = cut(tiles.groupBy("band", "bh", "p", "q").applyInPandas(_tile(threshold), "a long, b long"), "links")
-    final = components(links.unionByName(more)) if more.limit(1).count() else first
+    stars = first.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    final = components(stars.unionByName(more)) if more.limit(1).count() else first
     # the smallest row of each component stands for it
     heads = final.join(reps.select("node", "nil", "_id", "_t"), "node").groupBy("comp").agg(F.min(F.struct("nil", "_id", "_t")).alias("head"))
     headed = final.join(heads, "comp").select("node", "head")

@@ -81,17 +81,22 @@ def mix_sources(
     same = F.col("source").eqNullSafe(F.col("_s"))
     for k in range(_LEVELS):
         shift = _BITS * (_LEVELS - 1 - k)
-        inside = rows
+        part = F.shiftright("h", shift).alias("b")
         if k:  # only the boundary bucket of each source is refined
-            inside = rows.join(of(bound, "lo"), same & (F.shiftright("h", shift + _BITS) == F.shiftright("lo", shift + _BITS)))
-        hist = inside.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("n"))
+            inside = rows.join(of(bound, "lo", "rest"), same & (F.shiftright("h", shift + _BITS) == F.shiftright("lo", shift + _BITS)))
+            hist = inside.groupBy("source", part).agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
+        else:
+            hist = rows.groupBy("source", part).agg(F.sum("size").alias("n")).join(of(bound, "rest"), same)
         run = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn("upto", F.sum("n").over(run)).join(of(bound, "rest"), same).filter(F.col("upto") > F.col("rest"))
+        hist = hist.withColumn("upto", F.sum("n").over(run)).filter(F.col("upto") > F.col("rest"))
         hit = hist.groupBy("source").agg(F.min(F.struct("b", "upto", "n")).alias("hit"))
+        # a row per source of either table, put together by grouping: no hash table of the sources has to be kept
+        held = bound.select("source", F.struct("source_size", "target", "base", "rest").alias("held"))
+        bound = held.unionByName(hit, allowMissingColumns=True).groupBy("source").agg(F.max("held").alias("held"), F.max("hit").alias("hit"))
         bound = cut(
-            bound.drop("n").join(of(hit, "hit"), same, "left").select(
-                "source", "source_size", "target", "base",
-                (F.col("rest") - F.coalesce(F.col("hit.upto") - F.col("hit.n"), F.lit(0))).alias("rest"),
+            bound.select(
+                "source", "held.source_size", "held.target", "held.base",
+                (F.col("held.rest") - F.coalesce(F.col("hit.upto") - F.col("hit.n"), F.lit(0))).alias("rest"),
                 F.coalesce(F.shiftleft("hit.b", shift), F.lit(0)).cast("long").alias("lo"),
                 F.coalesce(F.col("hit.n"), F.lit(0)).cast("long").alias("n"),
             ),
